@@ -1,5 +1,61 @@
-"""Placeholder of the corpus pipeline until its stages exist."""
-STAGES = []
+"""The corpus pipeline: five stages, each one of the training-data operators.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet
+and read again as the next one's docs. All but the last return the columns of
+documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meshquill.llm import decontaminate, mixing, quality_rules, simhash
+from meshquill.llm.common import read_table, stored
+from meshquill.llm.registry import token_ids
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    judged = quality_rules.apply_rules(docs, read_table(spark, sf_dir, "labels"), keep_columns=True)
+    return judged.filter("_kept").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, of the smallest id, of each near-duplicate group."""
+    return simhash.keep_one(docs, limit=2)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no benchmark passage contaminates."""
+    found = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"))
+    gone = stored(found.filter("contaminated").select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
+    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+
+
+def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their mixing rates say."""
+    return mixing.mixed(docs, read_table(spark, sf_dir, "labels"))
+
+
+def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in directly addressable codes, written and read back."""
+    return token_ids(spark, docs)
+
+
+STAGES = [
+    ("quality_rules", keep_quality),
+    ("simhash", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_domains),
+    ("token_ids", write_token_ids),
+]
+#: Hashes, iteration and tokenizing cannot be written as SQL.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
