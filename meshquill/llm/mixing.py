@@ -5,9 +5,10 @@ gives every document posteriors over the domains. With a(i, d) = tokens(i)
 p(d | i), projected-gradient least squares seeks rates r(i) >= 0 near 1 with
 sum_i r(i) a(i, d) = target(d):
 
-    r <- max(0, r - a M (A r - T)),   M = (A A')^-1
+    r(i) <- max(0, r(i) - p(i) M (A r - T)),   M = (sum_i tokens(i) p(i) p(i)')^-1
 
-The metric M makes the step exact as long as no rate is clipped. A round is one
+Deviations from 1 are weighted by tokens, so that a rate follows a document's
+domains and not its length; M makes the step exact while no rate is clipped. A round is one
 aggregation over the stored posteriors: its result is one number a domain, and
 a rate is a function of its document's posteriors and the rounds' residuals.
 """
@@ -26,8 +27,8 @@ from .training import bounded_ids
 
 BINS = 1 << 13
 #: Bound of the labelled sample; weight of the common profile; log-odds factor.
-MAX_LABELLED, SMOOTHING, SOFTNESS = 4000, 20_000.0, 0.5
-MAX_ROUNDS, TOLERANCE = 40, 1e-6
+MAX_LABELLED, SMOOTHING, SOFTNESS = 4000, 2000.0, 0.3
+MAX_ROUNDS, TOLERANCE = 30, 1e-6
 #: Production targets: shares of the expected tokens.
 TARGETS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
 
@@ -37,18 +38,21 @@ def domain_col(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 0, "low").when((quality == 1) & (toxic == 0), "clean")
 
 
-def _bins(w: Column) -> Column:
+def _bin(*parts: Column) -> Column:
+    return F.pmod(F.xxhash64(*parts), F.lit(BINS)).cast("int")
+
+
+def _bins(word: Column) -> list[Column]:
     """A word's bin and its last two characters' bin."""
-    word = F.transform(w, lambda x: F.pmod(F.xxhash64(F.lower(x)), F.lit(BINS)).cast("int"))
-    tail = F.transform(w, lambda x: F.pmod(F.xxhash64(F.lit("-"), F.right(x, F.lit(2))), F.lit(BINS)).cast("int"))
-    return F.concat(word, tail)
+    return [_bin(F.lower(word)), _bin(F.lit("-"), F.right(word, F.lit(2)))]
 
 
 def fit_domains(docs: DataFrame, domains: DataFrame, names: list[str], id_col: str, text_col: str, max_labelled: int) -> tuple[list[float], list[list[float]]]:
     """(log priors, log p(bin | domain) less the common log p(bin))."""
     sample = bounded_ids(domains, max_labelled)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
-    rows = own.select("domain", F.explode(_bins(words_col(F.col("text")))).alias("b")).groupBy("domain", "b").agg(F.count("*").alias("n")).collect()
+    words = own.select("domain", F.explode(words_col(F.col("text"))).alias("x"))
+    rows = words.select("domain", F.explode(F.array(*_bins(F.col("x")))).alias("b")).groupBy("domain", "b").agg(F.count("*").alias("n")).collect()
     counts = np.zeros((len(names), BINS))
     for r in rows:
         counts[names.index(r["domain"]), r["b"]] = r["n"]
@@ -66,30 +70,24 @@ def posteriors(docs: DataFrame, labels: DataFrame, names: list[str], id_col: str
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain_col(F.col("quality"), F.col("toxic")).alias("domain"))
     domains = own.filter(F.col("doc_id").isNotNull() & F.col("domain").isin(names)).groupBy("doc_id").agg(F.max("domain").alias("domain"))
     prior, weights = fit_domains(docs, domains, names, id_col, text_col, max_labelled)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), words_col(F.col(text_col)).alias("w"))
-
-    def logits(f):
-        scale = F.lit(SOFTNESS) / F.sqrt(F.greatest(F.size(f), F.lit(1)))
-        return F.array(*[F.lit(b) + scale * _sum(f, ws) for b, ws in zip(prior, weights)])
-
-    def softmax(z):
-        return let(F.transform(z, lambda x: F.exp(x - F.array_max(z))), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y)))
-
-    p = let(let(_bins(F.col("w")), logits), softmax)
-    return texts.select("doc_id", "text_key", F.size("w").cast("long").alias("n_tokens"), p.alias("p"))
-
-
-def _sum(f: Column, weights: list[float]) -> Column:
-    table = literal(weights)
-    return F.aggregate(f, F.lit(0.0), lambda a, j: a + F.get(table, j))
-
-
-def _rate(history: list[np.ndarray], parts: list[Column]) -> Column:
-    r = F.lit(1.0)
-    for step in history:
-        move = sum((float(s) * a for s, a in zip(step, parts)), F.lit(0.0))
-        r = F.greatest(F.lit(0.0), r - move)
-    return r
+    # an empty word at the end keeps documents without words
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.concat(words_col(F.col(text_col)), F.array(F.lit(""))).alias("w"))
+    placed = texts.select("row", "doc_id", "text_key", F.explode("w").alias("x")).select("row", "doc_id", "text_key", "x", *[b.alias(f"b{i}") for i, b in enumerate(_bins(F.col("x")))])
+    real, keys = F.col("x") != "", ["row", "doc_id", "text_key"]
+    gains = [F.when(real, F.get(literal(ws), F.col("b0")) + F.get(literal(ws), F.col("b1"))).otherwise(0.0) for ws in weights]
+    sums = placed.groupBy(*keys).agg((F.count("*") - 1).alias("n_tokens"), *[F.sum(g).alias(f"s{d}") for d, g in enumerate(gains)])
+    logits = F.array(*[F.lit(b) + SOFTNESS * F.col(f"s{d}") for d, b in enumerate(prior)])
+    shifted = let(logits, lambda z: F.transform(z, lambda x: F.exp(x - F.array_max(z))))
+    p = let(shifted, lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y)))
+    return sums.select("doc_id", "text_key", "n_tokens", p.alias("p"))
+
+
+def _rate(history: list[np.ndarray], p: Column) -> Column:
+    """The rate after the given steps; one fold, however many there were."""
+    if not history:
+        return F.lit(1.0)
+    steps = F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in history])
+    return F.aggregate(steps, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(s, p, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)))
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float], tokens: float | None = None, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, dict]:
@@ -97,29 +95,35 @@ def fit_rates(members: DataFrame, targets: dict[str, float], tokens: float | Non
 
     targets are shares by domain, in the order of members' p. tokens is the
     wanted total; by default as many as let the domain with the largest share
-    keep all its tokens.
+    keep all its tokens, and then no domain is asked for more than it has.
+    Ends at the target, or when a round brings it no nearer by a hundredth.
     """
     k = len(targets)
     share = np.array(list(targets.values()), float) / sum(targets.values())
-    parts = [F.col("n_tokens") * F.col("p")[d] for d in range(k)]
+    mass = [F.col("n_tokens") * F.col("p")[d] for d in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    row = members.agg(*[F.coalesce(F.sum(a), F.lit(0.0)).alias(f"a{d}") for d, a in enumerate(parts)], *[F.coalesce(F.sum(parts[i] * parts[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i, j in pairs]).first()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    row = members.agg(*[total(a).alias(f"a{d}") for d, a in enumerate(mass)], *[total(mass[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i, j in pairs]).first()
     have = np.array([row[f"a{d}"] for d in range(k)])
     gram = np.zeros((k, k))
     for i, j in pairs:
         gram[i, j] = gram[j, i] = row[f"g{i}_{j}"]
     big = int(share.argmax())
-    want = share * (have[big] / share[big] if tokens is None else tokens)
+    want = np.minimum(share * (have[big] / share[big]), have) if tokens is None else share * tokens
     metric = np.linalg.pinv(gram + np.eye(k) * 1e-9 * max(np.trace(gram), 1e-9))
     history: list[np.ndarray] = []
-    total, rounds = have, 0
-    while rounds < max_rounds and np.abs(total - want).max() > TOLERANCE * max(want.max(), 1.0):
-        history.append(metric @ (total - want))
-        r = _rate(history, parts)
-        row = members.agg(*[F.coalesce(F.sum(r * a), F.lit(0.0)).alias(f"a{d}") for d, a in enumerate(parts)]).first()
-        total, rounds = np.array([row[f"a{d}"] for d in range(k)]), rounds + 1
-    report = {"have": have.tolist(), "want": want.tolist(), "got": total.tolist(), "rounds": rounds}
-    return members.withColumn("rate", _rate(history, parts)), report
+    got, error = have, np.abs(have - want).max()
+    while len(history) < max_rounds and error > TOLERANCE * max(want.max(), 1.0):
+        history.append(metric @ (got - want))
+        r = _rate(history, F.col("p"))
+        row = members.select("p", "n_tokens", r.alias("r")).agg(*[total(F.col("r") * a).alias(f"a{d}") for d, a in enumerate(mass)]).first()
+        now = np.array([row[f"a{d}"] for d in range(k)])
+        if np.abs(now - want).max() > 0.99 * error:
+            history.pop()
+            break
+        got, error = now, np.abs(now - want).max()
+    report = {"have": have.tolist(), "want": want.tolist(), "got": got.tolist(), "rounds": len(history)}
+    return members.withColumn("rate", _rate(history, F.col("p"))), report
 
 
 def copies_col(rate: Column, doc_id: Column, text_key: Column, seed: int = 1) -> Column:
