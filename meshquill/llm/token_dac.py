@@ -18,6 +18,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,13 @@ from .common import n_tasks, ship
 
 BLOCK_TOKENS = 1 << 18
 BLOCK_SCHEMA = "shard int, block int, first_token long, n_tokens long, doc_ids binary, id_known binary, ends binary, payload binary"
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 600_000
+#: How a byte-level vocabulary shows a space.
+_SPACE = "\u0120"
+#: Beyond this character a piece is left to the library's own pre-tokenizer.
+_PLAIN = "\u024f"
+# Fixed value: the pre-token pattern of byte-level vocabularies.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _RANK = 512
 
 
@@ -84,8 +91,9 @@ class Encoder:
     """Ids of whole texts by the tokenizers library, with a word cache.
 
     A byte-level pre-tokenizer never joins a non-space with a following space,
-    so a text may be cut there. Words not met before are encoded together in
-    one text and told apart by the byte lengths of their tokens.
+    so a text may be cut there. The pre-tokens of a new piece go straight to the
+    library's model; pieces beyond the Latin blocks, and special tokens, are
+    left to its whole tokenizer.
     """
 
     _CUT = re.compile(r"(?<=[^\s\x1c-\x1f])(?= )")
@@ -95,10 +103,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        vocab = self.tok.get_vocab()
-        self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)
-        for token, i in vocab.items():
-            self.lengths[i] = len(token)  # one character a byte
+        self._model = self.tok.model
+        self._pattern = regex.compile(_PATTERN)
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self._alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         form = json.loads(self.tok.to_str())
         split = form["pre_tokenizer"] or {}
@@ -108,44 +116,53 @@ class Encoder:
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
-    def _pieces(self, text: str) -> list[str]:
-        if any(s in text for s in self.special) or not self.simple:
-            return [text]
-        if self._HARD.search(text):
+    def _word(self, token: str) -> bytes:
+        """Ids of one pre-token, by the library's model."""
+        shown = token.encode().decode("latin-1").translate(self._alphabet)
+        return array.array("I", [t.id for t in self._model.tokenize(shown)]).tobytes()
+
+    def _pieces(self, text: str) -> list[str] | None:
+        """Parts that can be encoded one by one; None: the text only as a whole."""
+        if not self.simple or any(s in text for s in self.special):
+            return None
+        if self._HARD.search(text) or "\0" in text:
             return self._CUT.split(text)
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else self._CUT.split(text)
+        return text.replace(" ", "\0 ").split("\0")
+
+    def _new(self, wanted: set[str]) -> dict[str, bytes]:
+        """Ids of the pieces that the cache doesn't have."""
+        found: dict[str, bytes] = {}
+        cache, cut, alone, tokenize, ids = self.cache, self._pattern.findall, [], self._model.tokenize, array.array
+        for p in wanted:
+            if p in cache:
+                continue
+            plain = p.isascii() or p and max(p) <= _PLAIN
+            if not plain or len(p) > 200:
+                alone.append(p)
+            elif p[1:].isalpha() and p[0] == " " and p.isascii():  # one pre-token
+                found[p] = ids("I", [t.id for t in tokenize(_SPACE + p[1:])]).tobytes()
+            else:
+                parts = []
+                for t in cut(p):
+                    known = found.get(t) or cache.get(t)
+                    if known is None:
+                        known = found[t] = self._word(t)
+                    parts.append(known)
+                found[p] = b"".join(parts)
+        for i in range(0, len(alone), 256):
+            found |= zip(alone[i : i + 256], self._raw(alone[i : i + 256]))
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian unsigned 32-bit."""
         if len(self.cache) > _CACHE_WORDS:
             self.cache.clear()
         pieces = [self._pieces(t) for t in texts]
-        new = dict.fromkeys(p for ps in pieces for p in ps if p and p not in self.cache)
-        found: dict[str, bytes] = {"": b""}
-        alone, joined = [], []
-        for p in new:
-            good = len(p) < 200 and p[0] == " " and not p[-1].isspace() and not any(s in p for s in self.special)
-            (joined if good else alone).append(p)
-        for i in range(0, len(joined), 4096):
-            part = joined[i : i + 4096]
-            ids = np.array(self.tok.encode("".join(part), add_special_tokens=False).ids, np.uint32)
-            ends = np.cumsum([len(p.encode()) for p in part])
-            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
-            lo = 0
-            for p, hi in zip(part, cuts.tolist()):
-                found[p] = ids[lo:hi].tobytes()
-                lo = hi
-        for i in range(0, len(alone), 256):
-            found |= zip(alone[i : i + 256], self._raw(alone[i : i + 256]))
-        self.cache |= {p: v for p, v in found.items() if len(p) < 64}
-        get = lambda p: found[p] if p in found else self.cache[p]
+        self.cache |= self._new(set().union(*(ps for ps in pieces if ps is not None)))
         cached = self.cache.__getitem__
-        out = []
-        for ps in pieces:
-            try:
-                out.append(b"".join(map(cached, ps)))
-            except KeyError:
-                out.append(b"".join(map(get, ps)))
+        out = [b"".join(map(cached, ps)) if ps is not None else self._raw([t])[0] for t, ps in zip(texts, pieces)]
+        for p in [p for ps in pieces if ps is not None and max(map(len, ps), default=0) > 64 for p in ps if len(p) > 64]:
+            self.cache.pop(p, None)  # long ones hardly come again
         return out
 
 
@@ -185,8 +202,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id
 
         schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("id_known", pa.binary()), ("ends", pa.binary()), ("payload", pa.binary())])
         for b in batches:
-            for lo in range(0, b.num_rows, 128):
-                part = b.slice(lo, 128)
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
                 for doc, raw in zip(part.column(0).to_pylist(), enc.encode(as_array(part.column(1)).to_pylist())):
                     n = len(raw) // 4 + 1
                     if held and held + n > block_tokens:
