@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import bytesvec as bv
 from .common import n_tasks, ship, text_bytes
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES, BUCKET_BYTES = 5 << 20, 14 << 20
 _STEP = 0xC2B2AE3D27D4EB4F
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:long,end:long>>"
 
@@ -97,7 +97,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n_bytes = text_bytes(own, "text")
     chunks = max(n_tasks(spark), -(-n_bytes // chunk_bytes))
-    buckets = chunks
+    buckets = max(n_tasks(spark), -(-n_bytes // BUCKET_BYTES))
     own = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
 
     def send(table: pa.Table) -> pa.Table:
