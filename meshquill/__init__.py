@@ -1,0 +1 @@
+"""Directed, typed property-graph analytics on Spark."""
