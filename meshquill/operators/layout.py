@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import GraphView
+from ..runtime import ship
 
 G = "graph_id"
 POSITIONS = "graph_id string, idx long, x double, y double"
@@ -162,6 +163,7 @@ def _pull(p, v, a, b, bias, distance, strength, jiggle):
 def layout(members: DataFrame, edges: DataFrame, view: GraphView = GraphView(), start: DataFrame | None = None, factor: float = 1.0) -> DataFrame:
     """(graph_id, idx, x, y) at rest; members as for seed, start for a warm
     start. One task a graph: give very large graphs by community."""
+    ship(members.sparkSession)
     placed = members.join(start if start is not None else seed(members), [G, "idx"])
     none = F.lit(None).cast("long")
     rows = placed.select(G, "idx", "community", "radius", "x", "y", none.alias("src"), none.alias("dst")).unionByName(edges.select(G, "src", "dst"), allowMissingColumns=True)
