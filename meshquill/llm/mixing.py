@@ -1,7 +1,8 @@
 """Mixing to target weights: soft domain membership and document rates.
 
-A naive Bayes classifier, fitted on a bounded sample of the labelled table,
-gives every document posteriors over the domains. With a(i, d) = tokens(i)
+A classifier of hashed words, fitted on a bounded sample of the labelled table
+and calibrated on the part that made no profile, gives every document
+posteriors over the domains. With a(i, d) = tokens(i)
 p(d | i), projected-gradient least squares seeks rates r(i) >= 0 near 1 with
 sum_i r(i) a(i, d) = target(d):
 
@@ -15,8 +16,6 @@ a rate is a function of its document's posteriors and the rounds' residuals.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,11 +25,13 @@ from .quality_rules import literal
 from .training import bounded_ids
 
 BINS = 1 << 13
-#: Bound of the labelled sample; weight of the common profile; log-odds factor.
-MAX_LABELLED, SMOOTHING, SOFTNESS = 4000, 2000.0, 0.3
+#: Bound of the labelled sample; share of the common profile in a domain's own;
+#: words whose mean evidence counts in full.
+MAX_LABELLED, LEAN, WEIGHT = 4000, 0.5, 200
+NEVER = -1e6
 MAX_ROUNDS, TOLERANCE = 30, 1e-6
 #: Production targets: shares of the expected tokens.
-TARGETS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
+TARGETS = {"clean": 0.90, "low": 0.03, "toxic": 0.07}
 
 
 def domain_col(quality: Column, toxic: Column) -> Column:
@@ -47,39 +48,70 @@ def _bins(word: Column) -> list[Column]:
     return [_bin(F.lower(word)), _bin(F.lit("-"), F.right(word, F.lit(2)))]
 
 
-def fit_domains(docs: DataFrame, domains: DataFrame, names: list[str], id_col: str, text_col: str, max_labelled: int) -> tuple[list[float], list[list[float]]]:
-    """(log priors, log p(bin | domain) less the common log p(bin))."""
-    sample = bounded_ids(domains, max_labelled)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
+def _fold(first: bool) -> Column:
+    """Two thirds of the sample make the profiles, the rest calibrates."""
+    other = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0
+    return ~other if first else other
+
+
+def fit_profiles(docs: DataFrame, sample: DataFrame, names: list[str], id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """(documents of each domain, log p(bin | domain) less the common log p(bin))."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample.filter(_fold(True))), "doc_id")
     words = own.select("domain", F.explode(words_col(F.col("text"))).alias("x"))
     rows = words.select("domain", F.explode(F.array(*_bins(F.col("x")))).alias("b")).groupBy("domain", "b").agg(F.count("*").alias("n")).collect()
     counts = np.zeros((len(names), BINS))
     for r in rows:
         counts[names.index(r["domain"]), r["b"]] = r["n"]
-    sizes = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["domain"]: r["n"] for r in own.select("domain", "doc_id").distinct().groupBy("domain").agg(F.count("*").alias("n")).collect()}
     common = (counts.sum(0) + 1) / (counts.sum() + BINS)
-    profile = (counts + SMOOTHING * common) / (counts.sum(1, keepdims=True) + SMOOTHING)
-    total = sum(sizes.values())
-    prior = [math.log((sizes.get(d, 0) + 1) / (total + len(names))) for d in names]
-    return prior, (np.log(profile) - np.log(common)).tolist()
+    # every domain leans as much on the common profile, however small its sample
+    share = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+    profile = np.where(counts.sum(1, keepdims=True) > 0, (1 - LEAN) * share + LEAN * common, common)
+    return np.array([sizes.get(d, 0) for d in names], float), np.log(profile) - np.log(common)
+
+
+def calibrate(evidence: np.ndarray, domain: np.ndarray, prior: np.ndarray) -> tuple[float, np.ndarray]:
+    """(slope, offsets) of softmax(slope * evidence + offsets), by penalised
+    likelihood on labelled documents that made no profile."""
+    slope, offsets = 0.1, prior.copy()
+    if len(domain) < 30 or len(set(domain.tolist())) < 2:
+        return slope, offsets
+    hot, alive = np.eye(len(prior))[domain], prior > NEVER / 2
+    scale = max(evidence.std(), 1e-9)
+    x, a = evidence / scale, slope * scale
+    for _ in range(800):
+        z = np.where(alive, a * x + offsets, NEVER)
+        e = np.exp(z - z.max(1, keepdims=True))
+        off = e / e.sum(1, keepdims=True) - hot
+        a = max(0.0, a - 0.5 * ((off * x).sum(1).mean() + 1e-3 * a))
+        offsets = np.where(alive, offsets - 0.5 * off.mean(0), NEVER)
+    return a / scale, offsets
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, names: list[str], id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """``doc_id, text_key, n_tokens, p``: words of the whole text, and the
-    posterior of each domain in the order of names."""
+    calibrated posterior of each domain in the order of names."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain_col(F.col("quality"), F.col("toxic")).alias("domain"))
     domains = own.filter(F.col("doc_id").isNotNull() & F.col("domain").isin(names)).groupBy("doc_id").agg(F.max("domain").alias("domain"))
-    prior, weights = fit_domains(docs, domains, names, id_col, text_col, max_labelled)
+    sample = bounded_ids(domains, max_labelled)
+    sizes, weights = fit_profiles(docs, sample, names, id_col, text_col)
+    # a domain without a sample has no members, unless no domain has one
+    prior = np.where(sizes > 0, np.log(np.maximum(sizes, 1) / max(sizes.sum(), 1)), NEVER if sizes.sum() else 0.0)
     # an empty word at the end keeps documents without words
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.concat(words_col(F.col(text_col)), F.array(F.lit(""))).alias("w"))
     placed = texts.select("row", "doc_id", "text_key", F.explode("w").alias("x")).select("row", "doc_id", "text_key", "x", *[b.alias(f"b{i}") for i, b in enumerate(_bins(F.col("x")))])
-    real, keys = F.col("x") != "", ["row", "doc_id", "text_key"]
-    gains = [F.when(real, F.get(literal(ws), F.col("b0")) + F.get(literal(ws), F.col("b1"))).otherwise(0.0) for ws in weights]
-    sums = placed.groupBy(*keys).agg((F.count("*") - 1).alias("n_tokens"), *[F.sum(g).alias(f"s{d}") for d, g in enumerate(gains)])
-    logits = F.array(*[F.lit(b) + SOFTNESS * F.col(f"s{d}") for d, b in enumerate(prior)])
+    real = F.col("x") != ""
+    gains = [F.when(real, F.get(literal(ws), F.col("b0")) + F.get(literal(ws), F.col("b1"))).otherwise(0.0) for ws in weights.tolist()]
+    sums = placed.groupBy("row", "doc_id", "text_key").agg((F.count("*") - 1).alias("n_tokens"), *[F.sum(g).alias(f"s{d}") for d, g in enumerate(gains)])
+    mean = F.array(*[F.col(f"s{d}") * WEIGHT / F.greatest(F.col("n_tokens"), F.lit(WEIGHT)) for d in range(len(names))])
+    told = stored(sums.select("doc_id", "text_key", "n_tokens", mean.alias("e")), "evidence")
+    rows = told.join(F.broadcast(sample.filter(_fold(False))), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "e", "domain").collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    slope, offsets = calibrate(np.array([r["e"] for r in rows]).reshape(-1, len(names)), np.array([names.index(r["domain"]) for r in rows], int), prior)
+    logits = F.zip_with("e", F.array(*map(F.lit, offsets.tolist())), lambda x, b: x * slope + b)
     shifted = let(logits, lambda z: F.transform(z, lambda x: F.exp(x - F.array_max(z))))
     p = let(shifted, lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y)))
-    return sums.select("doc_id", "text_key", "n_tokens", p.alias("p"))
+    return told.select("doc_id", "text_key", "n_tokens", p.alias("p"))
 
 
 def _rate(history: list[np.ndarray], p: Column) -> Column:
@@ -96,7 +128,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], tokens: float | Non
     targets are shares by domain, in the order of members' p. tokens is the
     wanted total; by default as many as let the domain with the largest share
     keep all its tokens, and then no domain is asked for more than it has.
-    Ends at the target, or when a round brings it no nearer by a hundredth.
+    Ends at the target, or when no step brings it nearer by a hundredth.
     """
     k = len(targets)
     share = np.array(list(targets.values()), float) / sum(targets.values())
@@ -113,14 +145,16 @@ def fit_rates(members: DataFrame, targets: dict[str, float], tokens: float | Non
     metric = np.linalg.pinv(gram + np.eye(k) * 1e-9 * max(np.trace(gram), 1e-9))
     history: list[np.ndarray] = []
     got, error = have, np.abs(have - want).max()
-    while len(history) < max_rounds and error > TOLERANCE * max(want.max(), 1.0):
-        history.append(metric @ (got - want))
+    step = 1.0
+    while len(history) < max_rounds and step > 0.05 and error > TOLERANCE * max(want.max(), 1.0):
+        history.append(step * (metric @ (got - want)))
         r = _rate(history, F.col("p"))
         row = members.select("p", "n_tokens", r.alias("r")).agg(*[total(F.col("r") * a).alias(f"a{d}") for d, a in enumerate(mass)]).first()
         now = np.array([row[f"a{d}"] for d in range(k)])
-        if np.abs(now - want).max() > 0.99 * error:
+        if np.abs(now - want).max() > 0.99 * error:  # clipped rates: a shorter step
             history.pop()
-            break
+            step /= 2
+            continue
         got, error = now, np.abs(now - want).max()
     report = {"have": have.tolist(), "want": want.tolist(), "got": got.tolist(), "rounds": len(history)}
     return members.withColumn("rate", _rate(history, F.col("p"))), report
@@ -139,7 +173,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     none of them held out. Null and empty texts have no tokens and keep rate 1.
     Labels with a null id or value do not count; of contradicting ones the last
     by name wins. A domain without any document mass cannot be met and is left
-    short. Repeated documents each give a row, with the same rate and copies.
+    short; without any label all domains are equally likely. Repeated documents each give a row, with the same rate and copies.
     Other columns are ignored, whatever their names.
     """
     names = list(targets)

@@ -2,7 +2,7 @@
 
 Every word gives two hashed n-grams: with its successor (a word bigram) and
 its last two characters (a character bigram). Two multinomials over the hash
-bins, smoothed towards the even one, are counted: over a bounded sample of
+bins are counted: over a bounded sample of
 trusted documents, and over all documents. A document's score is the mean log
 ratio of its n-grams; a fixed threshold decides. All expressions are built in.
 """
@@ -18,8 +18,8 @@ from .common import SPACES, let, words_col
 from .training import bounded_ids, one_label
 
 BINS = 1 << 14
-#: Bound of the trusted sample (least id hash); pseudo-count of a bin.
-MAX_TRUSTED, SMOOTHING = 4000, 1.0
+#: Bound of the trusted sample (least id hash); n-grams of the raw profile that are mixed into the trusted one.
+MAX_TRUSTED, LEAN = 4000, 4.0 * BINS
 MIN_WORDS, MAX_REPEAT_PERCENT, THRESHOLD = 50, 50, -0.25
 
 
@@ -42,7 +42,8 @@ def ngram_bins(w: Column) -> Column:
 
 def repeat_words(w: Column) -> Column:
     """Words in 3-word windows that the text holds twice or more; windows are
-    told apart by 64-bit hashes, within one text. w must be a column."""
+    told apart by 64-bit hashes, within one text. w must be a column or a
+    lambda's variable."""
     n = F.greatest(F.size(w) - 2, F.lit(0))
     grams = F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), F.lit(1), n)
 
@@ -83,8 +84,9 @@ def log_ratios(docs: DataFrame, labels: DataFrame, label_col: str = "quality", i
     n_raw, n_good = sum(raw), sum(good_n)
     if not n_good:
         return [0.0] * BINS
-    k = SMOOTHING
-    return [math.log((g + k) / (n_good + k * BINS)) - math.log((r + k) / (n_raw + k * BINS)) for g, r in zip(good_n, raw)]
+    # the trusted profile leans on the raw one until the sample is large
+    common = [(r + 1) / (n_raw + BINS) for r in raw]
+    return [math.log((g + LEAN * c) / (n_good + LEAN)) - math.log(c) for g, c in zip(good_n, common)]
 
 
 def literal(values: list[float]) -> Column:
@@ -108,13 +110,18 @@ def apply_rules(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
     ratios = literal(log_ratios(docs, labels, label_col, id_col, text_col, max_trusted))
     own = docs if keep_columns else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     text = F.col(text_col if keep_columns else "text")
-    own = own.withColumn("_w", words_col(text))
-    w = F.col("_w")
-    mean = let(ngram_bins(w), lambda f: F.aggregate(f, F.lit(0.0), lambda a, j: a + F.get(ratios, j)) / F.greatest(F.size(f), F.lit(1)))
-    failed = lambda n, rep: (n < MIN_WORDS) | (100 * rep > MAX_REPEAT_PERCENT * n)
+
+    def judge(w):
+        mean = let(ngram_bins(w), lambda f: F.aggregate(f, F.lit(0.0), lambda a, j: a + F.get(ratios, j)) / F.greatest(F.size(f), F.lit(1)))
+        counts = {"n_words": F.size(w).cast("long"), "n_repeat_words": repeat_words(w)} if keep_columns else base_counts(text, w)
+        return F.struct(*[c.alias(k) for k, c in counts.items()], mean.alias("score"))
+
+    # bound in a lambda: a filter that Spark moves below would otherwise carry
+    # the splitting of the text into every inner lambda
+    judged = own.withColumn("_q", let(words_col(text), judge))
+    n, rep = F.col("_q.n_words"), F.col("_q.n_repeat_words")
+    failed = (n < MIN_WORDS) | (100 * rep > MAX_REPEAT_PERCENT * n)
     if keep_columns:
-        judged = own.withColumn("_r", repeat_words(w)).withColumn("_kept", ~failed(F.size(w), F.col("_r")) & (mean >= threshold))
-        return judged.drop("_w", "_r")
-    counted = own.select("doc_id", *[c.alias(k) for k, c in base_counts(text, w).items()], mean.alias("score"))
-    counted = counted.withColumn("base_failed", failed(F.col("n_words"), F.col("n_repeat_words")))
-    return counted.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+        return judged.withColumn("_kept", ~failed & (F.col("_q.score") >= threshold)).drop("_q")
+    out = judged.select("doc_id", "_q.*").withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
