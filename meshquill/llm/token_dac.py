@@ -28,7 +28,7 @@ from .common import n_tasks, ship
 
 BLOCK_TOKENS = 1 << 18
 BLOCK_SCHEMA = "shard int, block int, first_token long, n_tokens long, doc_ids binary, id_known binary, ends binary, payload binary"
-_CACHE_WORDS = 600_000
+_CACHE_WORDS = 500_000
 #: How a byte-level vocabulary shows a space.
 _SPACE = "\u0120"
 #: Beyond this character a piece is left to the library's own pre-tokenizer.
@@ -112,6 +112,7 @@ class Encoder:
         split = form["pre_tokenizer"] or {}
         self.simple = form["normalizer"] is None and form["model"]["type"] == "BPE" and split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split["use_regex"]
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
@@ -132,10 +133,13 @@ class Encoder:
     def _new(self, wanted: set[str]) -> dict[str, bytes]:
         """Ids of the pieces that the cache doesn't have."""
         found: dict[str, bytes] = {}
-        cache, cut, alone, tokenize, ids = self.cache, self._pattern.findall, [], self._model.tokenize, array.array
+        cache, old, cut, alone, tokenize, ids = self.cache, self.old, self._pattern.findall, [], self._model.tokenize, array.array
         for p in wanted:
             if p in cache:
                 continue
+            if p in old:
+                found[p] = old[p]
+                continue
             plain = p.isascii() or p and max(p) <= _PLAIN
             if not plain or len(p) > 200:
                 alone.append(p)
@@ -144,7 +148,7 @@ class Encoder:
             else:
                 parts = []
                 for t in cut(p):
-                    known = found.get(t) or cache.get(t)
+                    known = found.get(t) or cache.get(t) or old.get(t)
                     if known is None:
                         known = found[t] = self._word(t)
                     parts.append(known)
@@ -156,7 +160,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian unsigned 32-bit."""
         if len(self.cache) > _CACHE_WORDS:
-            self.cache.clear()
+            self.cache, self.old = {}, self.cache  # what is still met moves over
         pieces = [self._pieces(t) for t in texts]
         self.cache |= self._new(set().union(*(ps for ps in pieces if ps is not None)))
         cached = self.cache.__getitem__
