@@ -9,30 +9,17 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
+__all__ = ["drop_scratch", "held_out_col", "let", "n_tasks", "read_table", "scratch", "shared_dir", "ship", "stored", "text_bytes", "words_col"]
+
 #: Separators of a word: space and U+0009 to U+000D.
 SPACES = "[ \\t-\\r]"
 _written: list[str] = []
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once a Spark context."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp(prefix="meshquill-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    sc.addPyFile(str(archive))
-    _shipped.add(sc.applicationId)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
