@@ -6,16 +6,21 @@ posteriors over the domains. With a(i, d) = tokens(i)
 p(d | i), projected-gradient least squares seeks rates r(i) >= 0 near 1 with
 sum_i r(i) a(i, d) = target(d):
 
-    r(i) <- max(0, r(i) - p(i) M (A r - T)),   M = (sum_i tokens(i) p(i) p(i)')^-1
-
-Deviations from 1 are weighted by tokens, so that a rate follows a document's
-domains and not its length; M makes the step exact while no rate is clipped. A round is one
-aggregation over the stored posteriors: its result is one number a domain, and
-a rate is a function of its document's posteriors and the rounds' residuals.
+    r(i) = max(0, 1 - p(i) s),    s <- s + h M (A r - T)
+
+The steps s add up before the projection, so what is clipped in one round can
+return in the next; deviations from 1 are weighted by tokens, so that a rate
+follows a document's domains and not its length. M is the inverse of
+sum_i tokens(i) p(i) p(i)' over the rows with a positive rate, or over all rows,
+where a full step always lowers the value of the (dual) problem. A round is two
+aggregations over the stored posteriors: their result is a few numbers a domain,
+and a rate is a function of its document's posteriors and s.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +34,11 @@ BINS = 1 << 13
 #: words whose mean evidence counts in full.
 MAX_LABELLED, LEAN, WEIGHT = 4000, 0.5, 200
 NEVER = -1e6
-MAX_ROUNDS, TOLERANCE = 30, 1e-6
+#: Error at which the fit ends and from which a domain counts as short, as shares
+#: of the largest target; relative gain of a round at which the fit stands still.
+TOLERANCE, SHORT, STILL = 1e-6, 1e-4, 1e-13
+#: Weight that keeps steps finite for targets out of reach; lengths of a step.
+EASE, LENGTHS = 1e-10, (64.0, 16.0, 4.0, 1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001)
 #: Production targets: shares of the expected tokens.
 TARGETS = {"clean": 0.90, "low": 0.03, "toxic": 0.07}
 
@@ -114,50 +123,52 @@ def posteriors(docs: DataFrame, labels: DataFrame, names: list[str], id_col: str
     return told.select("doc_id", "text_key", "n_tokens", p.alias("p"))
 
 
-def _rate(history: list[np.ndarray], p: Column) -> Column:
-    """The rate after the given steps; one fold, however many there were."""
-    if not history:
-        return F.lit(1.0)
-    steps = F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in history])
-    return F.aggregate(steps, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(s, p, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)))
+def _rate(steps: np.ndarray, p: Column) -> Column:
+    """The rate after steps that add up to the given ones."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((float(x) * p[d] for d, x in enumerate(steps)), F.lit(0.0)))
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], tokens: float | None = None, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, dict]:
+def fit_rates(members: DataFrame, targets: dict[str, float], tokens: float | None = None) -> tuple[DataFrame, dict]:
     """members with ``rate``, and a report of totals, targets and rounds.
 
     targets are shares by domain, in the order of members' p. tokens is the
     wanted total; by default as many as let the domain with the largest share
     keep all its tokens, and then no domain is asked for more than it has.
-    Ends at the target, or when no step brings it nearer by a hundredth.
+    A round tries several lengths of its step and takes the one of least value.
+    Ends at the target, or where no step lowers the value by STILL of it: then
+    targets are out of reach, and the report's ``short`` says by how much.
     """
     k = len(targets)
     share = np.array(list(targets.values()), float) / sum(targets.values())
     mass = [F.col("n_tokens") * F.col("p")[d] for d in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
-    row = members.agg(*[total(a).alias(f"a{d}") for d, a in enumerate(mass)], *[total(mass[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i, j in pairs]).first()
-    have = np.array([row[f"a{d}"] for d in range(k)])
-    gram = np.zeros((k, k))
-    for i, j in pairs:
-        gram[i, j] = gram[j, i] = row[f"g{i}_{j}"]
+
+    def look(steps):
+        """Totals by domain and Gram matrix of the rows with a positive rate."""
+        row = members.withColumn("_r", _rate(steps, F.col("p"))).agg(*[total(F.col("_r") * a).alias(f"a{d}") for d, a in enumerate(mass)], *[total(F.when(F.col("_r") > 0, mass[i] * F.col("p")[j])).alias(f"g{i}_{j}") for i, j in pairs]).first()
+        return np.array([row[f"a{d}"] for d in range(k)]), np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+
+    steps, rounds = np.zeros(k), 0
+    got, gram = look(steps)
+    have, every = got, gram
     big = int(share.argmax())
     want = np.minimum(share * (have[big] / share[big]), have) if tokens is None else share * tokens
-    metric = np.linalg.pinv(gram + np.eye(k) * 1e-9 * max(np.trace(gram), 1e-9))
-    history: list[np.ndarray] = []
-    got, error = have, np.abs(have - want).max()
-    step = 1.0
-    while len(history) < max_rounds and step > 0.05 and error > TOLERANCE * max(want.max(), 1.0):
-        history.append(step * (metric @ (got - want)))
-        r = _rate(history, F.col("p"))
-        row = members.select("p", "n_tokens", r.alias("r")).agg(*[total(F.col("r") * a).alias(f"a{d}") for d, a in enumerate(mass)]).first()
-        now = np.array([row[f"a{d}"] for d in range(k)])
-        if np.abs(now - want).max() > 0.99 * error:  # clipped rates: a shorter step
-            history.pop()
-            step /= 2
-            continue
-        got, error = now, np.abs(now - want).max()
-    report = {"have": have.tolist(), "want": want.tolist(), "got": got.tolist(), "rounds": len(history)}
-    return members.withColumn("rate", _rate(history, F.col("p"))), report
+    solve = lambda m, x: np.linalg.pinv(m, rcond=1e-15, hermitian=True) @ x
+    soft = EASE * every
+    while np.abs(got - want).max() > TOLERANCE * max(want.max(), 1.0):
+        slope = got - want - soft @ steps
+        trials = [steps, steps + solve(every, slope), *[steps + h * solve(gram + soft, slope) for h in LENGTHS]]
+        row = members.agg(*[total(F.col("n_tokens") * _rate(t, F.col("p")) ** 2).alias(f"v{i}") for i, t in enumerate(trials)]).first()
+        value = [row[f"v{i}"] / 2 + want @ t + t @ soft @ t / 2 for i, t in enumerate(trials)]
+        best = int(np.argmin(value))
+        if value[0] - value[best] <= STILL * abs(value[0]):
+            break
+        steps, rounds = trials[best], rounds + 1
+        got, gram = look(steps)
+    report = {"have": have.tolist(), "want": want.tolist(), "got": got.tolist(), "rounds": rounds}
+    report["short"] = {d: float(w - g) for d, w, g in zip(targets, want, got) if abs(w - g) > SHORT * max(want.max(), 1.0)}
+    return members.withColumn("rate", _rate(steps, F.col("p"))), report
 
 
 def copies_col(rate: Column, doc_id: Column, text_key: Column, seed: int = 1) -> Column:
@@ -172,13 +183,15 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     Labels teach only through at most ``max_labelled`` rows (least id hash),
     none of them held out. Null and empty texts have no tokens and keep rate 1.
     Labels with a null id or value do not count; of contradicting ones the last
-    by name wins. A domain without any document mass cannot be met and is left
-    short; without any label all domains are equally likely. Repeated documents each give a row, with the same rate and copies.
+    by name wins. A domain that cannot be met is left short, with a warning that
+    says by how much; without any label all domains are equally likely. Repeated documents each give a row, with the same rate and copies.
     Other columns are ignored, whatever their names.
     """
     names = list(targets)
     members = stored(posteriors(docs, labels, names, id_col, text_col, max_labelled), "members")
-    rated, _ = fit_rates(members, targets, tokens)
+    rated, report = fit_rates(members, targets, tokens)
+    if report["short"]:
+        warnings.warn(f"mixing: targets out of reach, tokens short by domain: {report['short']} of {dict(zip(names, report['want']))}", stacklevel=2)
     columns = [F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(names)]
     return rated.select("doc_id", "text_key", "n_tokens", *columns, "rate", copies_col(F.col("rate"), F.col("doc_id"), F.col("text_key")).alias("copies"))
 

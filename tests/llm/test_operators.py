@@ -256,3 +256,16 @@ def test_language_model(spark, docs, none):
     assert langid_ecoc.identify_language(none).count() == 0
     code = langid_ecoc.codewords(12)
     assert min((code[i] != code[j]).sum() for i in range(12) for j in range(i)) >= 5
+
+
+def test_mixing_fits_where_rates_are_clipped(spark):
+    rng = np.random.default_rng(4)
+    raw = rng.dirichlet([6.0, 0.8, 0.8], 400) ** 0.5
+    p = raw / raw.sum(1, keepdims=True)
+    members = spark.createDataFrame([(i, i, int(n), x.tolist()) for i, (n, x) in enumerate(zip(rng.integers(20, 900, 400), p))], "doc_id long, text_key long, n_tokens long, p array<double>")
+    rated, report = mixing.fit_rates(members, {"a": 0.9, "b": 0.06, "c": 0.04})
+    rows = rated.collect()
+    n, p, r = (np.array([x[k] for x in rows]) for k in ("n_tokens", "p", "rate"))
+    assert (r == 0).any() and np.allclose((r * n) @ p, report["want"], rtol=1e-4) and not report["short"]
+    _, report = mixing.fit_rates(members, {"a": 0.01, "b": 0.01, "c": 0.98}, tokens=1e6)
+    assert set(report["short"]) and all(abs(w - g - report["short"].get(d, 0)) < 1.1 for d, w, g in zip("abc", report["want"], report["got"]))
