@@ -40,7 +40,7 @@ TOLERANCE, SHORT, STILL = 1e-6, 1e-4, 1e-13
 #: Weight that keeps steps finite for targets out of reach; lengths of a step.
 EASE, LENGTHS = 1e-10, (64.0, 16.0, 4.0, 1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001)
 #: Production targets: shares of the expected tokens.
-TARGETS = {"clean": 0.90, "low": 0.03, "toxic": 0.07}
+TARGETS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
 
 
 def domain_col(quality: Column, toxic: Column) -> Column:
@@ -133,7 +133,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], tokens: float | Non
 
     targets are shares by domain, in the order of members' p. tokens is the
     wanted total; by default as many as let the domain with the largest share
-    keep all its tokens, and then no domain is asked for more than it has.
+    keep all its tokens; a domain below its share of them is raised.
     A round tries several lengths of its step and takes the one of least value.
     Ends at the target, or where no step lowers the value by STILL of it: then
     targets are out of reach, and the report's ``short`` says by how much.
@@ -153,7 +153,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], tokens: float | Non
     got, gram = look(steps)
     have, every = got, gram
     big = int(share.argmax())
-    want = np.minimum(share * (have[big] / share[big]), have) if tokens is None else share * tokens
+    want = share * (have[big] / share[big] if tokens is None else tokens)
     solve = lambda m, x: np.linalg.pinv(m, rcond=1e-15, hermitian=True) @ x
     soft = EASE * every
     while np.abs(got - want).max() > TOLERANCE * max(want.max(), 1.0):

@@ -269,3 +269,11 @@ def test_mixing_fits_where_rates_are_clipped(spark):
     assert (r == 0).any() and np.allclose((r * n) @ p, report["want"], rtol=1e-4) and not report["short"]
     _, report = mixing.fit_rates(members, {"a": 0.01, "b": 0.01, "c": 0.98}, tokens=1e6)
     assert set(report["short"]) and all(abs(w - g - report["short"].get(d, 0)) < 1.1 for d, w, g in zip("abc", report["want"], report["got"]))
+
+
+def test_mixing_raises_a_domain_below_its_share(spark):
+    members = spark.createDataFrame([(i, i, 100, [0.97, 0.01, 0.02] if i % 20 else [0.1, 0.1, 0.8]) for i in range(200)] + [(900, 900, 100, [0.1, 0.8, 0.1])], "doc_id long, text_key long, n_tokens long, p array<double>")
+    rated, report = mixing.fit_rates(members, {"a": 0.9, "b": 0.05, "c": 0.05})
+    got = np.array(report["got"])
+    assert np.allclose(got / got.sum(), [0.9, 0.05, 0.05], atol=1e-4) and rated.agg(F.max("rate")).first()[0] > 1.5
+    assert mixing.TARGETS == {"clean": 0.97, "low": 0.02, "toxic": 0.01}
