@@ -1,8 +1,8 @@
 """Mixing to target weights: soft domain membership and document rates.
 
-A classifier of hashed words, fitted on a bounded sample of the labelled table
-and calibrated on the part that made no profile, gives every document
-posteriors over the domains. With a(i, d) = tokens(i)
+Log ratios of document frequencies of words, from a bounded sample of the
+labelled table, add up to evidence for each domain; calibrated on the part that
+made no weights, it gives every document posteriors over the domains. With a(i, d) = tokens(i)
 p(d | i), projected-gradient least squares seeks rates r(i) >= 0 near 1 with
 sum_i r(i) a(i, d) = target(d):
 
@@ -26,13 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let, stored, words_col
-from .quality_rules import literal
 from .training import bounded_ids
 
-BINS = 1 << 13
-#: Bound of the labelled sample; share of the common profile in a domain's own;
-#: words whose mean evidence counts in full.
-MAX_LABELLED, LEAN, WEIGHT = 4000, 0.5, 200
+#: Bound of the labelled sample; likelihood ratio and documents from which a
+#: feature has weight.
+MAX_LABELLED, MIN_G2, MIN_DOCS = 4000, 10.0, 3
 NEVER = -1e6
 #: Error at which the fit ends and from which a domain counts as short, as shares
 #: of the largest target; relative gain of a round at which the fit stands still.
@@ -48,53 +46,62 @@ def domain_col(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 0, "low").when((quality == 1) & (toxic == 0), "clean")
 
 
-def _bin(*parts: Column) -> Column:
-    return F.pmod(F.xxhash64(*parts), F.lit(BINS)).cast("int")
-
-
-def _bins(word: Column) -> list[Column]:
-    """A word's bin and its last two characters' bin."""
-    return [_bin(F.lower(word)), _bin(F.lit("-"), F.right(word, F.lit(2)))]
+def _features(words: Column) -> Column:
+    """Distinct lower-cased words and last two characters of words, and the
+    empty feature, that every document has."""
+    return F.array_distinct(F.concat(F.transform(words, F.lower), F.transform(words, lambda x: F.concat(F.lit("-"), F.right(x, F.lit(2)))), F.array(F.lit(""))))
 
 
 def _fold(first: bool) -> Column:
-    """Two thirds of the sample make the profiles, the rest calibrates."""
+    """Two thirds of the sample make the weights, the rest calibrates."""
     other = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0
     return ~other if first else other
 
 
-def fit_profiles(docs: DataFrame, sample: DataFrame, names: list[str], id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """(documents of each domain, log p(bin | domain) less the common log p(bin))."""
+def fit_weights(docs: DataFrame, sample: DataFrame, names: list[str], id_col: str, text_col: str) -> tuple[np.ndarray, DataFrame]:
+    """(documents of each domain, table of x and weights w).
+
+    A feature's weight for a domain is the log ratio of its document frequency
+    there to that in the other domains, where the likelihood ratio of the two
+    is at least MIN_G2; else 0.
+    """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample.filter(_fold(True))), "doc_id")
-    words = own.select("domain", F.explode(words_col(F.col("text"))).alias("x"))
-    rows = words.select("domain", F.explode(F.array(*_bins(F.col("x")))).alias("b")).groupBy("domain", "b").agg(F.count("*").alias("n")).collect()
-    counts = np.zeros((len(names), BINS))
-    for r in rows:
-        counts[names.index(r["domain"]), r["b"]] = r["n"]
-    sizes = {r["domain"]: r["n"] for r in own.select("domain", "doc_id").distinct().groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    common = (counts.sum(0) + 1) / (counts.sum() + BINS)
-    # every domain leans as much on the common profile, however small its sample
-    share = counts / np.maximum(counts.sum(1, keepdims=True), 1)
-    profile = np.where(counts.sum(1, keepdims=True) > 0, (1 - LEAN) * share + LEAN * common, common)
-    return np.array([sizes.get(d, 0) for d in names], float), np.log(profile) - np.log(common)
-
-
-def calibrate(evidence: np.ndarray, domain: np.ndarray, prior: np.ndarray) -> tuple[float, np.ndarray]:
-    """(slope, offsets) of softmax(slope * evidence + offsets), by penalised
-    likelihood on labelled documents that made no profile."""
-    slope, offsets = 0.1, prior.copy()
+    sizes = {r["domain"]: r["n"] for r in own.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    n = np.array([sizes.get(d, 0) for d in names], float)
+    every = float(n.sum())
+    seen = own.select("domain", F.explode(_features(words_col(F.col("text")))).alias("x"))
+    counts = seen.groupBy("x").agg(F.count("*").cast("double").alias("c"), *[F.count(F.when(F.col("domain") == d, 1)).cast("double").alias(f"c{i}") for i, d in enumerate(names)])
+    q = (F.col("c") + 0.5) / (every + 1)
+    weights = []
+    for i, size in enumerate(n.tolist()):
+        have, rest = F.col(f"c{i}"), F.col("c") - F.col(f"c{i}")
+        part = lambda o, of: F.when(o > 0, o * F.log(o * every / (F.col("c") * of))).otherwise(0.0)
+        ratio = F.log((have + q) / (size + 1)) - F.log((rest + q) / (every - size + 1))
+        weights.append(F.when(2 * (part(have, size) + part(rest, every - size)) >= MIN_G2, ratio).otherwise(0.0) if 0 < size < every else F.lit(0.0))
+    told = counts.filter((F.col("c") >= MIN_DOCS) & (F.col("x") != "")).select("x", F.array(*weights).alias("w")).filter(F.exists("w", lambda v: v != 0))
+    blank = docs.sparkSession.createDataFrame([("", [0.0] * len(names))], "x string, w array<double>")
+    return n, stored(told.unionByName(blank), "weights")
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def calibrate(evidence: np.ndarray, domain: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slopes, offsets) of softmax(evidence @ slopes + offsets), by penalised
+    likelihood on labelled documents that made no weights."""
+    k, offsets = len(prior), prior.copy()
     if len(domain) < 30 or len(set(domain.tolist())) < 2:
-        return slope, offsets
-    hot, alive = np.eye(len(prior))[domain], prior > NEVER / 2
-    scale = max(evidence.std(), 1e-9)
-    x, a = evidence / scale, slope * scale
-    for _ in range(800):
-        z = np.where(alive, a * x + offsets, NEVER)
-        e = np.exp(z - z.max(1, keepdims=True))
-        off = e / e.sum(1, keepdims=True) - hot
-        a = max(0.0, a - 0.5 * ((off * x).sum(1).mean() + 1e-3 * a))
+        return 0.1 * np.eye(k), offsets
+    hot, alive = np.eye(k)[domain], prior > NEVER / 2
+    scale = np.maximum(evidence.std(0), 1e-9)
+    x, a = evidence / scale, np.zeros((k, k))
+    for _ in range(3000):
+        off = softmax(np.where(alive, x @ a + offsets, NEVER)) - hot
+        a = a - 0.5 * (x.T @ off / len(x) + 1e-3 * a)
         offsets = np.where(alive, offsets - 0.5 * off.mean(0), NEVER)
-    return a / scale, offsets
+    return a / scale[:, None], offsets
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, names: list[str], id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -103,21 +110,17 @@ def posteriors(docs: DataFrame, labels: DataFrame, names: list[str], id_col: str
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain_col(F.col("quality"), F.col("toxic")).alias("domain"))
     domains = own.filter(F.col("doc_id").isNotNull() & F.col("domain").isin(names)).groupBy("doc_id").agg(F.max("domain").alias("domain"))
     sample = bounded_ids(domains, max_labelled)
-    sizes, weights = fit_profiles(docs, sample, names, id_col, text_col)
+    sizes, weights = fit_weights(docs, sample, names, id_col, text_col)
     # a domain without a sample has no members, unless no domain has one
     prior = np.where(sizes > 0, np.log(np.maximum(sizes, 1) / max(sizes.sum(), 1)), NEVER if sizes.sum() else 0.0)
-    # an empty word at the end keeps documents without words
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.concat(words_col(F.col(text_col)), F.array(F.lit(""))).alias("w"))
-    placed = texts.select("row", "doc_id", "text_key", F.explode("w").alias("x")).select("row", "doc_id", "text_key", "x", *[b.alias(f"b{i}") for i, b in enumerate(_bins(F.col("x")))])
-    real = F.col("x") != ""
-    gains = [F.when(real, F.get(literal(ws), F.col("b0")) + F.get(literal(ws), F.col("b1"))).otherwise(0.0) for ws in weights.tolist()]
-    sums = placed.groupBy("row", "doc_id", "text_key").agg((F.count("*") - 1).alias("n_tokens"), *[F.sum(g).alias(f"s{d}") for d, g in enumerate(gains)])
-    mean = F.array(*[F.col(f"s{d}") * WEIGHT / F.greatest(F.col("n_tokens"), F.lit(WEIGHT)) for d in range(len(names))])
-    told = stored(sums.select("doc_id", "text_key", "n_tokens", mean.alias("e")), "evidence")
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), let(words_col(F.col(text_col)), lambda w: F.struct(F.size(w).cast("long").alias("n"), _features(w).alias("f"))).alias("t"))
+    placed = texts.select("row", "doc_id", "text_key", F.col("t.n").alias("n_tokens"), F.explode("t.f").alias("x"))
+    sums = placed.join(F.broadcast(weights), "x").groupBy("row", "doc_id", "text_key", "n_tokens").agg(*[F.sum(F.col("w")[d]).alias(f"s{d}") for d in range(len(names))])
+    told = stored(sums.select("doc_id", "text_key", "n_tokens", F.array(*[f"s{d}" for d in range(len(names))]).alias("e")), "evidence")
     rows = told.join(F.broadcast(sample.filter(_fold(False))), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "e", "domain").collect()
     rows.sort(key=lambda r: r["doc_id"])
-    slope, offsets = calibrate(np.array([r["e"] for r in rows]).reshape(-1, len(names)), np.array([names.index(r["domain"]) for r in rows], int), prior)
-    logits = F.zip_with("e", F.array(*map(F.lit, offsets.tolist())), lambda x, b: x * slope + b)
+    slopes, offsets = calibrate(np.array([r["e"] for r in rows]).reshape(-1, len(names)), np.array([names.index(r["domain"]) for r in rows], int), prior)
+    logits = F.array(*[sum((F.col("e")[i] * float(v) for i, v in enumerate(slopes[:, d])), F.lit(float(offsets[d]))) for d in range(len(names))])
     shifted = let(logits, lambda z: F.transform(z, lambda x: F.exp(x - F.array_max(z))))
     p = let(shifted, lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y)))
     return told.select("doc_id", "text_key", "n_tokens", p.alias("p"))

@@ -277,3 +277,18 @@ def test_mixing_raises_a_domain_below_its_share(spark):
     got = np.array(report["got"])
     assert np.allclose(got / got.sum(), [0.9, 0.05, 0.05], atol=1e-4) and rated.agg(F.max("rate")).first()[0] > 1.5
     assert mixing.TARGETS == {"clean": 0.97, "low": 0.02, "toxic": 0.01}
+
+
+def test_mixing_tells_a_domain_by_a_few_words(spark):
+    rude = ["trash", "scum", "moron"]
+    rows = []
+    for i in range(900):
+        own = prose(300).split()
+        if i % 9 == 0:
+            for w in RNG.sample(rude, 2):
+                own.insert(RNG.randrange(len(own)), w)
+        rows.append((i, " ".join(own), 1, int(i % 9 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 5 == 0]
+    p = {r["doc_id"]: r["p"] for r in mixing.posteriors(df.drop("quality", "toxic"), df, list(mixing.TARGETS)).collect()}
+    assert all((p[i][2] > 0.5) == (i % 9 == 0) for i in held) and any(i % 9 == 0 for i in held)
