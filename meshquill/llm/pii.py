@@ -1,8 +1,8 @@
 """PII: pattern spans, and terms whose co-occurrence reveals a protected value.
 
 Patterns find e-mail addresses, IP addresses, payment cards and phone numbers:
-the protected values. Terms (runs of letters and digits) near an occurrence of
-a value are its candidates. Over the whole corpus, with N documents,
+the protected values. Terms (runs of letters and digits) anywhere in a document
+that holds a value are its candidates. Over the whole corpus, with N documents,
 
     IC(v) = log2(N / n(v))        PMI(t; v) = log2(N n(t, v) / (n(t) n(v)))
 
@@ -29,8 +29,9 @@ CARD = r"[0-9](?:[ -]?[0-9])++"
 CARD_SIZED = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 TERM = r"[^\p{L}\p{N}]"
-#: Code points on either side of a value that hold its candidate terms.
-REACH, MIN_SUPPORT, GENERALISE, REMOVE = 64, 2, 0.8, 0.95
+#: Stands for a span when terms are sought.
+CUT = "\uffff"
+MIN_SUPPORT, GENERALISE, REMOVE = 2, 0.8, 0.95
 #: Candidate terms up to which they are broadcast; beyond, counts are joined.
 MAX_BROADCAST = 200_000
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
@@ -85,38 +86,27 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def _terms_near(text: Column, spans: Column) -> Column:
-    """Candidate terms of every span: whole terms within REACH code points on
-    either side that overlap no span, with their places and the span's value."""
+def _value(s: Column) -> Column:
+    """A span's protected value, as it is counted."""
+    return F.concat_ws(":", s["kind"], F.when(s["kind"] == 0, F.lower(s["value"])).when(s["kind"] == 1, s["value"]).otherwise(digits(s["value"])))
 
-    def side(first, last):
-        """Terms of text[first:last] (bounds given as columns)."""
-        piece = F.substring(text, first + 1, last - first)
 
-        def cut(words):
-            none = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,term:string>>))")
+def _terms(text: Column, spans: Column) -> Column:
+    """Distinct candidate terms of the whole text; what touches a span is part of it."""
 
-            def step(a, w):
-                n = F.char_length(w)
-                return F.struct((a["at"] + n + 1).alias("at"), F.concat(a["out"], F.array(F.struct((first + a["at"]).alias("start"), (first + a["at"] + n).alias("end"), F.lower(w).alias("term")))).alias("out"))
-
-            return F.aggregate(words, none, step, lambda a: a["out"])
-
-        return let(F.split(piece, TERM, -1), cut)
+    def step(a, s):
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], F.when(s["start"] >= a["at"], F.substring(text, a["at"] + 1, s["start"] - a["at"])).otherwise(F.lit("")), F.lit(CUT)).alias("out"))
 
-    length = F.char_length(text)
+    rest = F.aggregate(spans, F.expr("named_struct('at', 0, 'out', '')"), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))))
+    rest = F.regexp_replace(rest, f"(?:\\G|(?<![\\p{{L}}\\p{{N}}]))[\\p{{L}}\\p{{N}}]*+(?:{CUT}[\\p{{L}}\\p{{N}}]*+)++", " ")
+    return F.filter(F.array_distinct(F.split(F.lower(rest), TERM + "+")), lambda t: t.rlike("^(?=.*\\p{L}).{3,}$"))
 
-    def of(s):
-        lo, hi = F.greatest(s["start"] - REACH, F.lit(0)), F.least(s["end"] + REACH, length)
-        inside = lambda t: F.when(lo > 0, t["start"] > lo).otherwise(True) & F.when(hi < length, t["end"] < hi).otherwise(True)
-        near = F.concat(side(lo, s["start"]), side(s["end"], hi))
-        free = lambda t: ~F.exists(spans, lambda o: (o["start"] < t["end"]) & (t["start"] < o["end"]))
-        apart = lambda t: (t["end"] != s["start"]) & (t["start"] != s["end"])  # noqa: E731  what touches a value is part of it
-        good = F.filter(near, lambda t: t["term"].rlike("^(?=.*\\p{L}).{3,}$") & inside(t) & free(t) & apart(t))
-        value = F.when(s["kind"] == 0, F.lower(s["value"])).when(s["kind"] == 1, s["value"]).otherwise(digits(s["value"]))
-        return F.transform(good, lambda t: F.struct(t["start"], t["end"], t["term"], F.concat_ws(":", s["kind"], value).alias("value")))
 
-    return F.flatten(F.transform(spans, of))
+def _places(text: Column, spans: Column, terms: Column) -> Column:
+    """Spans of every occurrence of the terms that touches no other span."""
+    pattern = F.concat(F.lit("(?iu)(?<![\\p{L}\\p{N}])(?:"), F.array_join(terms, "|"), F.lit(")(?![\\p{L}\\p{N}])"))
+    found = F.transform(placed(text, pattern), lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), (s["start"] + F.char_length(s["value"])).alias("end"), F.lower(s["value"]).alias("value")))
+    return F.filter(found, lambda t: F.array_contains(terms, t["value"]) & ~F.exists(spans, lambda o: (o["start"] <= t["end"]) & (t["start"] <= o["end"])))
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, min_support: int = MIN_SUPPORT) -> DataFrame:
@@ -129,29 +119,29 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     points, ends exclusive. Other columns are ignored, whatever their names.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # `near` only looks at documents with a span, so most rows cost a few scans
+    # terms are only sought in documents with a span, so most rows cost a few scans
     found = own.withColumn("base", base_spans(F.col("text")))
-    near = F.when(F.size("base") > 0, _terms_near(F.col("text"), F.col("base")))
-    found = stored(found.select("doc_id", F.xxhash64("text").alias("text_key"), "base", near.alias("near")), "pii")
+    terms = F.when(F.size("base") > 0, _terms(F.col("text"), F.col("base")))
+    found = stored(found.select("doc_id", F.xxhash64("text").alias("text_key"), "base", terms.alias("terms")), "pii")
     n = found.count()
-    holds = found.filter("size(near) > 0")
-    pairs = holds.select(F.explode(F.array_distinct(F.transform("near", lambda t: F.struct(t["term"].alias("term"), t["value"].alias("value"))))).alias("p")).groupBy("p.term", "p.value").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_support)
+    holds = found.filter("size(terms) > 0").withColumn("values", F.array_distinct(F.transform("base", _value)))
+    both = holds.select("doc_id", "text_key", "base", "values", F.explode("terms").alias("term")).select("doc_id", "text_key", "base", "term", F.explode("values").alias("value"))
+    pairs = both.groupBy("term", "value").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_support)
     pairs = stored(pairs, "pairs")
     wanted = stored(pairs.select("term").distinct(), "wanted")
     words = own.select(F.explode(F.array_distinct(F.split(F.lower("text"), TERM + "+"))).alias("term"))
     if wanted.count() <= MAX_BROADCAST:
         words = words.join(F.broadcast(wanted), "term", "left_semi")
     by_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    value = lambda s: F.concat_ws(":", s["kind"], F.when(s["kind"] == 0, F.lower(s["value"])).when(s["kind"] == 1, s["value"]).otherwise(digits(s["value"])))
-    by_value = found.filter("size(base) > 0").select(F.explode(F.array_distinct(F.transform("base", value))).alias("value")).groupBy("value").agg(F.count("*").alias("n_value"))
+    by_value = found.filter("size(base) > 0").select(F.explode(F.array_distinct(F.transform("base", _value))).alias("value")).groupBy("value").agg(F.count("*").alias("n_value"))
     shared = pairs.join(by_term, "term").join(by_value, "value")
     pmi = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_term") * F.col("n_value")))
     ic = F.log2(F.lit(float(n)) / F.col("n_value"))
     share = F.when(ic > 0, pmi / ic).otherwise(0.0)
     told = stored(shared.withColumn("share", share).filter(F.col("share") >= generalise).select("term", "value", "share"), "told")
-    spots = holds.select("doc_id", "text_key", F.explode("near").alias("t")).select("doc_id", "text_key", "t.*").join(told, ["term", "value"])
-    spot = F.struct(F.col("start"), F.lit(KINDS.index("term")).alias("kind"), F.col("end"), F.col("term").alias("value"))
-    extra = spots.groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(F.collect_set(spot).alias("extra"), F.collect_set(F.when(F.col("share") >= remove, F.col("term"))).alias("removed"))
+    told_in = both.join(told, ["term", "value"]).groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(F.first("base").alias("_b"), F.collect_set("term").alias("told"), F.collect_set(F.when(F.col("share") >= remove, F.col("term"))).alias("removed"))
+    texts = own.select("doc_id", "text", F.xxhash64("text").alias("text_key")).join(told_in, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k"))).dropDuplicates(["_d", "_k"])
+    extra = texts.select("_d", "_k", _places(F.col("text"), F.col("_b"), F.col("told")).alias("extra"), "removed")
     out = found.join(extra, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")), "left")
     return out.select("doc_id", "text_key", "base", F.sort_array(F.concat("base", F.coalesce("extra", F.array().cast(SPAN)))).alias("spans"), F.coalesce("removed", F.array().cast("array<string>")).alias("removed"))
 

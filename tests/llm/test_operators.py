@@ -292,3 +292,14 @@ def test_mixing_tells_a_domain_by_a_few_words(spark):
     held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 5 == 0]
     p = {r["doc_id"]: r["p"] for r in mixing.posteriors(df.drop("quality", "toxic"), df, list(mixing.TARGETS)).collect()}
     assert all((p[i][2] > 0.5) == (i % 9 == 0) for i in held) and any(i % 9 == 0 for i in held)
+
+
+def test_pii_terms_of_the_whole_text(spark):
+    far = "filler words " * 30
+    rows = [(i, f"Zorblax {far}me0@x.org {far}zorblax now") for i in range(3)] + [(i, f"{far}now") for i in range(3, 40)]
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.find_spans(own).cache()
+    places = [(s["start"], s["end"]) for s in found.filter("doc_id = 0").first()["spans"] if s["value"] == "zorblax"]
+    assert places == [(0, 7), (rows[0][1].index("zorblax"), rows[0][1].index("zorblax") + 7)]
+    texts = {r["doc_id"]: r["text"] for r in pii.sanitise(own, found).collect()}
+    assert "zorblax" not in texts[0].lower() and texts[5] == rows[5][1]
