@@ -12,29 +12,34 @@ block holds whole documents, their ids and ends, and one code payload.
 from __future__ import annotations
 
 import array
+import gc
 import json
-import re
 import struct
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesvec import as_array
-from .common import n_tasks, ship
+from .bytesvec import as_array, buffers, row_slices
+from .common import n_tasks, ship, text_bytes
 
 BLOCK_TOKENS = 1 << 18
 BLOCK_SCHEMA = "shard int, block int, first_token long, n_tokens long, doc_ids binary, id_known binary, ends binary, payload binary"
-_CACHE_WORDS = 500_000
+SHARD_BYTES, BATCH_ROWS, BATCH_BYTES = 64 << 20, 4096, 16 << 20
+_CACHE_WORDS = 600_000
 #: How a byte-level vocabulary shows a space.
 _SPACE = "\u0120"
-#: Beyond this character a piece is left to the library's own pre-tokenizer.
-_PLAIN = "\u024f"
-# Fixed value: the pre-token pattern of byte-level vocabularies.
-_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Fixed value: the pre-token pattern of byte-level vocabularies, for text without
+# runs of white space.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
+#: Pieces with this go to the library as they are: characters beyond the Latin
+#: blocks, controls, runs of white space.
+_ODD = r"[^\t\n\r\x20-\x7e\x{a1}-\x{24f}]|\s\s"
+#: A space after white space (of any sort): the text is no sequence of pieces.
+_BEFORE_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
 _RANK = 512
 
 
@@ -87,88 +92,134 @@ def dac_access(payload: bytes, i: int) -> int:
     raise ValueError("broken payload")
 
 
+def gather(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """values[start : start + length] of each run, one after the other."""
+    skip = np.cumsum(lengths) - lengths
+    return values[np.repeat(starts - skip, lengths) + np.arange(int(lengths.sum()))]
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library, with a word cache.
+    """Ids of whole texts by the tokenizers library, each distinct pre-token once.
 
     A byte-level pre-tokenizer never joins a non-space with a following space,
-    so a text may be cut there. The pre-tokens of a new piece go straight to the
-    library's model; pieces beyond the Latin blocks, and special tokens, are
-    left to its whole tokenizer.
+    so a text is cut there; equal pieces of a batch are found by Arrow's
+    dictionary encoding, and so are the pre-tokens of the distinct pieces. Only
+    pre-tokens that the cache doesn't have go to the library's model. Pieces
+    with anything but the Latin blocks and single white space, and texts with
+    special tokens, are left to the library's whole tokenizer.
     """
 
-    _CUT = re.compile(r"(?<=[^\s\x1c-\x1f])(?= )")
-    _HARD = re.compile(r"[\s\x1c-\x1f] ")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self._model = self.tok.model
-        self._pattern = regex.compile(_PATTERN)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self._alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         form = json.loads(self.tok.to_str())
         split = form["pre_tokenizer"] or {}
         self.simple = form["normalizer"] is None and form["model"]["type"] == "BPE" and split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split["use_regex"]
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [array.array("I", e.ids).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-
-    def _word(self, token: str) -> bytes:
-        """Ids of one pre-token, by the library's model."""
-        shown = token.encode().decode("latin-1").translate(self._alphabet)
-        return array.array("I", [t.id for t in self._model.tokenize(shown)]).tobytes()
-
-    def _pieces(self, text: str) -> list[str] | None:
-        """Parts that can be encoded one by one; None: the text only as a whole."""
-        if not self.simple or any(s in text for s in self.special):
-            return None
-        if self._HARD.search(text) or "\0" in text:
-            return self._CUT.split(text)
-        return text.replace(" ", "\0 ").split("\0")
-
-    def _new(self, wanted: set[str]) -> dict[str, bytes]:
-        """Ids of the pieces that the cache doesn't have."""
-        found: dict[str, bytes] = {}
-        cache, old, cut, alone, tokenize, ids = self.cache, self.old, self._pattern.findall, [], self._model.tokenize, array.array
-        for p in wanted:
-            if p in cache:
-                continue
-            if p in old:
-                found[p] = old[p]
-                continue
-            plain = p.isascii() or p and max(p) <= _PLAIN
-            if not plain or len(p) > 200:
-                alone.append(p)
-            elif p[1:].isalpha() and p[0] == " " and p.isascii():  # one pre-token
-                found[p] = ids("I", [t.id for t in tokenize(_SPACE + p[1:])]).tobytes()
-            else:
-                parts = []
-                for t in cut(p):
-                    known = found.get(t) or cache.get(t) or old.get(t)
-                    if known is None:
-                        known = found[t] = self._word(t)
-                    parts.append(known)
-                found[p] = b"".join(parts)
-        for i in range(0, len(alone), 256):
-            found |= zip(alone[i : i + 256], self._raw(alone[i : i + 256]))
-        return found
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, little-endian unsigned 32-bit."""
-        if len(self.cache) > _CACHE_WORDS:
-            self.cache, self.old = {}, self.cache  # what is still met moves over
-        pieces = [self._pieces(t) for t in texts]
-        self.cache |= self._new(set().union(*(ps for ps in pieces if ps is not None)))
-        cached = self.cache.__getitem__
-        out = [b"".join(map(cached, ps)) if ps is not None else self._raw([t])[0] for t, ps in zip(texts, pieces)]
-        for p in [p for ps in pieces if ps is not None and max(map(len, ps), default=0) > 64 for p in ps if len(p) > 64]:
-            self.cache.pop(p, None)  # long ones hardly come again
+        self._clear()
+        gc.freeze()  # what is loaded now stays; later collections are short
+
+    def _clear(self) -> None:
+        self._place: dict[str, int] = {}
+        self._starts, self._ids = array.array("q", [0]), array.array("I")
+        self._add("", ())
+
+    def _add(self, key: str, ids) -> int:
+        self._ids.extend(ids)
+        self._starts.append(len(self._ids))
+        self._place[key] = at = len(self._starts) - 2
+        return at
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        out = []
+        for lo in range(0, len(texts), 256):
+            out += [e.ids for e in self.tok.encode_batch_fast(texts[lo : lo + 256], add_special_tokens=False)]
         return out
 
+    def _places(self, tokens: list[str]) -> np.ndarray:
+        """Places in the cache of pre-tokens, after adding the new ones."""
+        get, tokenize, add, alphabet = self._place.get, self._model.tokenize, self._add, self._alphabet
+        out = list(map(get, tokens))
+        if None in out:
+            for i in [i for i, at in enumerate(out) if at is None]:
+                t = tokens[i]
+                form = _SPACE + t[1:] if t[0] == " " and t[1:].isalnum() and t.isascii() else t.encode().decode("latin-1").translate(alphabet)
+                out[i] = add(t, [x.id for x in tokenize(form)])
+        return np.array(out, np.int64)
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each piece) of distinct pieces."""
+        plain = pc.invert(pc.match_substring_regex(pieces, _ODD))
+        odd = pc.filter(pieces, pc.invert(plain)).to_pylist()
+        cut = pc.split_pattern(pc.replace_substring_regex(pc.filter(pieces, plain), _PATTERN, "\\0\0"), "\0")
+        tokens = cut.flatten().dictionary_encode()
+        place = self._places(tokens.dictionary.to_pylist())
+        token = place[tokens.indices.to_numpy()]
+        rest = [self._place.get("\0" + p) for p in odd]
+        missing = [p for p, at in zip(odd, rest) if at is None]
+        for p, ids in zip(missing, self._whole(missing)):
+            self._add("\0" + p, ids)
+        rest = np.array([self._place["\0" + p] for p in odd], np.int64)
+        starts, values = np.array(self._starts, np.int64), np.array(self._ids, np.uint32)
+        lengths = np.diff(starts)
+        # pieces in their order: runs of places, of which an odd piece has one
+        mask = plain.to_numpy(zero_copy_only=False)
+        n_runs = np.ones(len(pieces), np.int64)
+        n_runs[mask] = np.diff(cut.offsets.to_numpy())
+        owner = np.repeat(mask, n_runs)
+        run = np.empty(len(owner), np.int64)
+        run[owner], run[~owner] = token, rest
+        sums = np.concatenate(([0], np.cumsum(lengths[run])))
+        bounds = np.concatenate(([0], np.cumsum(n_runs)))
+        return gather(starts[run], lengths[run], values), np.diff(sums[bounds])
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        texts = as_array(texts)
+        if texts.null_count:
+            texts = pc.fill_null(texts, "")
+        if len(self._place) > _CACHE_WORDS:
+            self._clear()
+        n = len(texts)
+        whole = np.full(n, not self.simple)
+        for mark in (*self.special, "\0"):
+            whole |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        hard = pc.match_substring_regex(texts, _BEFORE_SPACE).to_numpy(zero_copy_only=False)
+        counts, parts = np.zeros(n, np.int64), []
+        easy = np.flatnonzero(~whole & ~hard)
+        if len(easy):
+            marked = pc.binary_join_element_wise("", texts.take(pa.array(easy)), "\0")  # the first piece has no space
+            cut = pc.split_pattern(marked, " ")
+            pieces = cut.flatten().dictionary_encode()
+            keys = pieces.dictionary
+            first = pc.starts_with(keys, "\0")
+            keys = pc.if_else(first, pc.utf8_slice_codeunits(keys, 1), pc.binary_join_element_wise(" ", keys, ""))
+            ids, sizes = self._pieces(keys)
+            codes, bounds = pieces.indices.to_numpy(), cut.offsets.to_numpy()
+            bounds = bounds - bounds[0]
+            starts = np.cumsum(sizes) - sizes
+            sums = np.concatenate(([0], np.cumsum(sizes[codes])))
+            counts[easy] = np.diff(sums[bounds])
+            parts.append((easy, gather(starts[codes], sizes[codes], ids)))
+        left = np.flatnonzero(whole | hard)
+        if len(left):
+            found = self._whole(texts.take(pa.array(left)).to_pylist())
+            counts[left] = [len(x) for x in found]
+            parts.append((left, np.array([i for x in found for i in x], np.uint32)))
+        ends = np.cumsum(counts)
+        out = np.empty(int(ends[-1]) if n else 0, np.uint32)
+        for rows, ids in parts:
+            if len(rows) == n:
+                return ids, counts
+            mine = np.zeros(n, bool)
+            mine[rows] = True
+            out[np.repeat(mine, counts)] = ids
+        return out, counts
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -187,40 +238,48 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id
     ascending document order.
 
     Null or empty texts have only the end id. A null id stands first; rows
-    that share an id stand in the order of their texts. Other columns are
-    ignored, whatever their names. A document is never split: a block is as
+    that share an id stand in the order of a hash of their texts, and are dealt
+    by it, so that no id is bound to one task. Other columns are ignored,
+    whatever their names. A document is never split: a block is as
     large as its longest text needs.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = own.repartitionByRange(n_tasks(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    own = own.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    order = ["doc_id", "tie", "row"]
+    shards = max(n_tasks(spark), -(-text_bytes(own, "text") // SHARD_BYTES))
+    ordered = own.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("id_known", pa.binary()), ("ends", pa.binary()), ("payload", pa.binary())])
 
     def encode(batches):
         enc, shard = _encoder(tokenizer), TaskContext.get().partitionId()
-        ids, known, parts, ends, held, start, block = [], [], [], [], 0, 0, 0
-        end = struct.pack("<I", end_id)
+        docs_in, known, parts, ends, held, start, block = [], [], [], [], 0, 0, 0
 
         def row():
-            all_ids = np.frombuffer(b"".join(parts), np.uint32)
-            return {"shard": [shard], "block": [block], "first_token": [start], "n_tokens": [held], "doc_ids": [np.array(ids, "<i8").tobytes()], "id_known": [bytes(known)], "ends": [np.array(ends, "<i8").tobytes()], "payload": [dac_encode(all_ids)]}
+            ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+            return pa.RecordBatch.from_pydict({"shard": [shard], "block": [block], "first_token": [start], "n_tokens": [held], "doc_ids": [np.array(docs_in, "<i8").tobytes()], "id_known": [bytes(known)], "ends": [np.array(ends, "<i8").tobytes()], "payload": [dac_encode(ids)]}, schema)
 
-        schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("id_known", pa.binary()), ("ends", pa.binary()), ("payload", pa.binary())])
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                for doc, raw in zip(part.column(0).to_pylist(), enc.encode(as_array(part.column(1)).to_pylist())):
-                    n = len(raw) // 4 + 1
-                    if held and held + n > block_tokens:
-                        yield pa.RecordBatch.from_pydict(row(), schema)
-                        start, block = start + held, block + 1
-                        ids, known, parts, ends, held = [], [], [], [], 0
-                    held += n
-                    ids.append(doc or 0)
-                    known.append(doc is not None)
-                    parts += (raw, end)
-                    ends.append(held)
-        if ids:
-            yield pa.RecordBatch.from_pydict(row(), schema)
+            _, offsets = buffers(b.column(1))
+            for lo, hi in row_slices(offsets, BATCH_BYTES):
+                for lo in range(lo, hi, BATCH_ROWS):
+                    part = b.slice(lo, min(hi, lo + BATCH_ROWS) - lo)
+                    ids, counts = enc.encode(part.column(1))
+                    ids = np.insert(ids, np.cumsum(counts), end_id)
+                    to = np.cumsum(counts + 1)
+                    for doc, a, z in zip(part.column(0).to_pylist(), (to - counts - 1).tolist(), to.tolist()):
+                        if held and held + z - a > block_tokens:
+                            yield row()
+                            start, block = start + held, block + 1
+                            docs_in, known, parts, ends, held = [], [], [], [], 0
+                        held += z - a
+                        docs_in.append(doc or 0)
+                        known.append(doc is not None)
+                        parts.append(ids[a:z])
+                        ends.append(held)
+        if docs_in:
+            yield row()
 
     ordered.mapInArrow(encode, BLOCK_SCHEMA).write.parquet(path)
 
