@@ -12,9 +12,9 @@ import pyarrow.compute as pc
 
 BLOCK = 1 << 20
 _rng = np.random.default_rng(20250131)
-_TABLE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+#: Two independent families of byte values and bases.
+_TABLES = [_rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 SEP = np.zeros(256, bool)
 SEP[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[int, np.ndarray] = {}
@@ -89,23 +89,23 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
-def _hash_block(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    n = len(data)
+def _hash_block(data: np.ndarray, s: np.ndarray, e: np.ndarray, family: int) -> np.ndarray:
+    n, base = len(data), _BASES[family]
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_TABLE[data] * powers(_BASE, n), out=sums[1:])
-    h = (sums[e] - sums[s]) * powers(_BASE_INV, n)[s]
+    np.cumsum(_TABLES[family][data] * powers(base, n), out=sums[1:])
+    h = (sums[e] - sums[s]) * powers(pow(base, -1, 1 << 64), n)[s]
     return mix(h + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, spans=None, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of each word, words before each row): polynomial hashes by
     prefix sums, block by block."""
-    starts, ends = word_spans(data, offsets)
+    starts, ends = spans or word_spans(data, offsets)
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
         b = starts[i]
-        out[i:j] = _hash_block(data[b : ends[j - 1]], starts[i:j] - b, ends[i:j] - b)
+        out[i:j] = _hash_block(data[b : ends[j - 1]], starts[i:j] - b, ends[i:j] - b, family)
         i = j
     return out, np.searchsorted(starts, offsets)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 
-__all__ = ["drop_scratch", "held_out_col", "let", "n_tasks", "read_table", "scratch", "shared_dir", "ship", "stored", "text_bytes", "words_col"]
+__all__ = ["drop_scratch", "fresh", "held_out_col", "let", "n_tasks", "read_table", "scratch", "shared_dir", "ship", "stored", "text_bytes", "words_col"]
 
 #: Separators of a word: space and U+0009 to U+000D.
 SPACES = "[ \\t-\\r]"
@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not found:
+        if not conf.get("spark.master", "").startswith("local") or conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="meshquill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -80,7 +82,18 @@ def let(value: Column, body) -> Column:
 
 def words_col(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; null has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES + "+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES + "+"), "")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart
+    from df's columns (names are compared without case)."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n = "_" + n
+        out.append(n)
+    return out
 
 
 def held_out_col(doc_id: Column) -> Column:

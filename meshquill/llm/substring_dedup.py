@@ -1,16 +1,18 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length word window.
 
-1. Documents are dealt to chunks by a hash of their id (one exchange of the
-   texts, used twice). A chunk hashes every window of its documents and sends,
-   for each distinct hash, the id of its first document, packed by hash bucket:
-   however often a passage occurs, a chunk sends it once.
+1. Documents are dealt to chunks by a hash of their id and text (one exchange
+   of the texts, used twice). A chunk hashes every window of its documents and
+   sends, for each distinct hash, its first document, packed by hash bucket:
+   however often a passage occurs, a chunk sends it once. Buckets without an
+   entry cost nothing, so work and messages follow the number of windows.
 2. A bucket compares the chunks' lists and answers each with one bit per entry:
    the passage also starts in an earlier document of another chunk.
 3. A chunk joins the answers with its own texts, hashes them again and merges
    the repeated windows into maximal removal intervals.
 
-Window hashes have 64 bits: among n distinct windows n**2 / 2**65 pairs are
-expected to collide (0.0004 for 1.3e8 windows).
+Windows are equal if two independent 64-bit hashes are: among n distinct
+windows n**2 / 2**129 pairs are expected to collide (3e-13 for the 1.5e13
+windows of 100 TB).
 """
 
 from __future__ import annotations
@@ -25,18 +27,18 @@ from pyspark.sql import functions as F
 from . import bytesvec as bv
 from .common import n_tasks, ship, text_bytes
 
-CHUNK_BYTES, BUCKET_BYTES = 5 << 20, 14 << 20
-_STEP = 0xC2B2AE3D27D4EB4F
+CHUNK_BYTES, BUCKET_BYTES = 5 << 20, 10 << 20
+_STEPS = (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:long,end:long>>"
 
 
-def window_hashes(words: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(words: np.ndarray, bounds: np.ndarray, window: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each window inside one document, its first word)."""
     n = len(words) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h = np.zeros(n, np.uint64)
-    step = np.uint64(_STEP)
+    step = np.uint64(_STEPS[family])
     for k in range(window):
         h *= step
         h += words[k : k + n]
@@ -45,40 +47,71 @@ def window_hashes(words: np.ndarray, bounds: np.ndarray, window: int) -> tuple[n
     return bv.mix(h[at]), at
 
 
+def _grouped(h: np.ndarray, g: np.ndarray, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(order by hash pair and rank, or place; whether a row of that order
+    starts a group of equal pairs). Second hashes are compared only where first
+    ones are equal, and sorted only if they ever differ there."""
+    keys = (h,) if rank is None else (rank, h)
+    order = np.lexsort(keys)
+    for full in (False, True):
+        if full:
+            order = np.lexsort((*keys[:-1], g, h))
+        same, equal = h[order[1:]] == h[order[:-1]], g[order[1:]] == g[order[:-1]]
+        if not (same & ~equal).any():
+            break
+    return order, np.concatenate((np.ones(min(len(h), 1), bool), ~(same & equal)))
+
+
 class _Chunk:
     """The documents of one chunk in order, and their distinct windows by bucket."""
 
     def __init__(self, table: pa.Table, window: int, buckets: int):
-        ids = table["doc_id"].to_numpy(zero_copy_only=False) if not table["doc_id"].null_count else np.array([np.iinfo(np.int64).min if x is None else x for x in table["doc_id"].to_pylist()], np.int64)
-        order = np.argsort(ids, kind="stable")
-        if len(ids) > 1 and (np.diff(ids[order]) == 0).any():  # repeated ids: by text
-            texts = table["text"].to_pylist()
-            order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], texts[i] or "")), np.int64)
-        self.table, self.ids = table.take(pa.array(order)), ids[order]
+        ids = table["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy()
+        ties = table["tie"].to_numpy()
+        order = np.lexsort((ties, ids))
+        self.table, self.ids, self.ties = table.take(pa.array(order)), ids[order], ties[order]
         data, offsets = bv.buffers(self.table["text"])
-        words, self.bounds = bv.word_hashes(data, offsets)
+        spans = bv.word_spans(data, offsets)
+        words, self.bounds = bv.word_hashes(data, offsets, spans)
         self.data, self.offsets = data, offsets
         h, self.at = window_hashes(words, self.bounds, window)
+        words, _ = bv.word_hashes(data, offsets, spans, 1)
+        g, _ = window_hashes(words, self.bounds, window, 1)
         del words
-        self.distinct, self.first, self.which = np.unique(h, return_index=True, return_inverse=True)
+        order, new = _grouped(h, g, None)
+        self.first, self.which = order[new], np.empty(len(h), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        h, g = h[self.first], g[self.first]
         doc = np.searchsorted(self.bounds, self.at[self.first], "right") - 1
-        self.doc = self.ids[doc] if len(self.ids) else np.zeros(0, np.int64)
-        bucket = ((self.distinct >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        self.cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-
-    def bucket(self, b: int) -> np.ndarray:
-        """Entries of bucket b, by document, so that equal ids stand together."""
-        lo, hi = self.cuts[b], self.cuts[b + 1]
-        return lo + np.argsort(self.first[lo:hi], kind="stable")
-
-
-def _later(hashes: list[np.ndarray], docs: list[np.ndarray]) -> list[np.ndarray]:
+        bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        #: Entries by bucket, then document; runs of one bucket.
+        self.entry = np.lexsort((self.first, bucket))
+        bucket = bucket[self.entry]
+        self.cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=bucket[:1] + np.uint64(1))), len(bucket))
+        self.buckets = bucket[self.cuts[:-1]].astype(np.int64)
+        self.h, self.g, self.doc = h[self.entry], g[self.entry], doc[self.entry]
+
+    def messages(self):
+        """(bucket, hash pairs, ids and ties of their documents, entries of each)."""
+        for k, b in enumerate(self.buckets.tolist()):
+            lo, hi = self.cuts[k], self.cuts[k + 1]
+            docs, n = np.unique(self.doc[lo:hi], return_counts=True)
+            yield b, self.h[lo:hi].tobytes() + self.g[lo:hi].tobytes(), self.ids[docs].tobytes() + self.ties[docs].tobytes(), n.astype(np.uint32).tobytes()
+
+
+def _later(hashes: list[bytes], docs: list[bytes], sizes: list[bytes]) -> list[np.ndarray]:
     """Of each list's entries, those that an earlier document in another list has."""
-    h, d = np.concatenate(hashes), np.concatenate(docs)
-    order = np.lexsort((d, h))
-    out = np.zeros(len(h), bool)
-    out[order[1:]] = h[order[1:]] == h[order[:-1]]
-    return np.split(out, np.cumsum([len(x) for x in hashes])[:-1])
+    pairs = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in hashes]
+    named = [np.frombuffer(x, np.int64).reshape(2, -1) for x in docs]
+    h, g = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+    ids, ties = np.concatenate([d[0] for d in named]), np.concatenate([d[1] for d in named])
+    rank = np.empty(len(ids), np.int64)
+    rank[np.lexsort((ties, ids))] = np.arange(len(ids))
+    rank = np.repeat(rank, np.frombuffer(b"".join(sizes), np.uint32))
+    order, new = _grouped(h, g, rank)
+    out = np.empty(len(h), bool)
+    out[order] = ~new
+    return np.split(out, np.cumsum([p.shape[1] for p in pairs])[:-1])
 
 
 def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -89,8 +122,9 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     joined by one space, and the removed word ranges, end exclusive.
 
     Null or empty texts have no words and are kept as empty. A null id stands
-    before all others. Rows that share an id stand in the order of their texts;
-    each gives a row. Other columns are ignored, whatever their names.
+    before all others. Rows that share an id stand in the order of a hash of
+    their texts and are dealt by it; each gives a row. Other columns are
+    ignored, whatever their names.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -98,22 +132,19 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     n_bytes = text_bytes(own, "text")
     chunks = max(n_tasks(spark), -(-n_bytes // chunk_bytes))
     buckets = max(n_tasks(spark), -(-n_bytes // BUCKET_BYTES))
-    own = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
+    own = own.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(chunks)).cast("int").alias("chunk"))
 
     def send(table: pa.Table) -> pa.Table:
-        c = _Chunk(table, window, buckets)
-        rows = [(b, c.bucket(b)) for b in range(buckets) if c.cuts[b + 1] > c.cuts[b]]
+        rows = list(_Chunk(table, window, buckets).messages())
+        column = lambda k: pa.array([r[k] for r in rows], pa.binary())
         return pa.table({
             "chunk": pa.array(np.full(len(rows), table["chunk"][0].as_py(), np.int32)),
-            "bucket": pa.array([b for b, _ in rows], pa.int32()),
-            "hashes": pa.array([c.distinct[e].tobytes() for _, e in rows], pa.binary()),
-            "docs": pa.array([c.doc[e].tobytes() for _, e in rows], pa.binary()),
-        })
+            "bucket": pa.array([r[0] for r in rows], pa.int64()),
+            "hashes": column(1), "docs": column(2), "sizes": column(3),
+        })
 
     def answer(table: pa.Table) -> pa.Table:
-        hashes = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
-        ids = [np.frombuffer(x, np.int64) for x in table["docs"].to_pylist()]
-        found = _later(hashes, ids)
+        found = _later(*(table[c].to_pylist() for c in ("hashes", "docs", "sizes")))
         keep = [i for i, f in enumerate(found) if f.any()]
         return pa.table({
             "chunk": table["chunk"].take(pa.array(keep, pa.int64())),
@@ -123,9 +154,10 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         c = _Chunk(table, window, buckets)
-        later = np.zeros(len(c.distinct), bool)
+        later = np.zeros(len(c.first), bool)
         for b, bits in zip(answers["bucket"].to_pylist(), answers["later"].to_pylist()):
-            e = c.bucket(b)
+            k = int(np.searchsorted(c.buckets, b))
+            e = c.entry[c.cuts[k] : c.cuts[k + 1]]
             later[e] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(e)).astype(bool)
         repeat = later[c.which]
         mine = np.ones(len(c.at), bool)
@@ -158,6 +190,6 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
             "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
         })
 
-    sent = own.groupBy("chunk").applyInArrow(send, "chunk int, bucket int, hashes binary, docs binary")
-    answers = sent.groupBy("bucket").applyInArrow(answer, "chunk int, bucket int, later binary")
+    sent = own.groupBy("chunk").applyInArrow(send, "chunk int, bucket long, hashes binary, docs binary, sizes binary")
+    answers = sent.groupBy("bucket").applyInArrow(answer, "chunk int, bucket long, later binary")
     return own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(remove, RESULT)
