@@ -60,7 +60,7 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near_items")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,8 +95,14 @@ SQL: dict[str, str] = {
     dw AS (SELECT doc_id, s, f.n, array_to_string(w[s:s + f.n - 1], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM d) x JOIN f ON f.first = x.w[x.s] WHERE s + f.n - 1 <= len(w)),
     m AS (SELECT DISTINCT doc_id, s, dw.n, item_id FROM dw JOIN iw ON dw.t = iw.t AND dw.n = iw.n),
     h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM m) GROUP BY doc_id),
-    a AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM m GROUP BY doc_id)
+    a AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM m GROUP BY doc_id),
+    nw AS (SELECT row_number() OVER () AS wid, item_id, t FROM (SELECT DISTINCT item_id, list_sort(list_distinct(string_split(t, ' '))) AS t FROM iw)),
+    dp AS (SELECT doc_id, w[p] AS term, p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+    fr AS (SELECT term, count(*) AS c FROM dp GROUP BY term),
+    rare AS (SELECT wid, arg_min(term, c) AS term FROM (SELECT wid, unnest(t) AS term FROM nw) JOIN fr USING (term) GROUP BY wid),
+    sp AS (SELECT DISTINCT doc_id, wid, unnest(range(greatest(p - 19, 1), p + 1)) AS s FROM dp JOIN rare USING (term)),
+    nr AS (SELECT sp.doc_id, count(DISTINCT item_id) AS n_near FROM sp JOIN nw USING (wid) JOIN d ON d.doc_id = sp.doc_id WHERE list_has_all(d.w[s:s + 19], t) GROUP BY sp.doc_id)
     SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-      coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-    FROM d LEFT JOIN h USING (doc_id) LEFT JOIN a USING (doc_id)""",
+      coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near_items
+    FROM d LEFT JOIN h USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN nr USING (doc_id)""",
 }
