@@ -7,6 +7,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,12 +140,29 @@ def test_contamination(spark, docs, none):
     assert got == key(brute.contamination(ROWS, [i for i in items if i[0] is not None]))
     assert decontaminate.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.contamination(none, bench).count() == 0
-    mixed = " ".join(sorted(ITEM.split()[:13]))
-    own = spark.createDataFrame([(1, mixed), (2, prose(50))], "doc_id long, text string")
-    found = decontaminate.bench_items(spark.createDataFrame([(7, " ".join(ITEM.split()[:13]))], "item_id long, text string"))
-    anchor = decontaminate.anchors(own, found, 13, "text")
-    near = decontaminate.search_near(decontaminate.build_index(own, anchor), anchor).collect()
-    assert {r["doc_id"] for r in near} == {1}
+
+
+def test_proximity(spark):
+    """Against all spans of 20 words, with terms from a small vocabulary."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([1, 4, 9, 13, 25])))) for i in range(12)]
+    shuffled = items[3][1].split()
+    rng.shuffle(shuffled)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([0, 5, 60, 400])))) for i in range(30)] + [(50, " ".join(shuffled)), (51, " y ".join(shuffled)), (52, items[5][1]), (52, None)]
+    own, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    expected = []
+    for d, t in rows:
+        w, found = (t or "").split(), set()
+        spans = [set(w[a : a + 20]) for a in range(len(w))]
+        for item, text in items:
+            x = text.split()
+            n = min(13, len(x))
+            if any(set(x[s : s + n]) <= span for s in range(len(x) - n + 1) for span in spans):
+                found.add(str(item))
+        expected.append((d, tuple(sorted(found))))
+    got = [(r["doc_id"], tuple(r["near_items"])) for r in decontaminate.contamination(own, bench).collect()]
+    assert sorted(got) == sorted(expected)
 
 
 def test_pii(spark, docs, none):
@@ -168,13 +186,28 @@ def test_long_runs_do_not_break_patterns(spark):
 
 
 def test_licenses(spark, docs, none):
-    rows = [(1, "intro\nReleased under the MIT License.\nend"), (2, "licensed under the apache license version 2 0"), (3, prose(50)), (4, None), (5, ""), (6, "MIT"), (6, "MIT")]
-    got = {r["doc_id"]: (r["n_matches"], r["license"], r["score"]) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: (2, "MIT", 1.0), 2: (1, "Apache-2.0", 1.0), 3: (0, None, None), 4: (0, None, None), 5: (0, None, None), 6: (0, None, None)}
+    whole = dict(license_scan.TEMPLATES[:6])
+    wrapped = "\n".join(" ".join(whole["MIT"].split()[i : i + 9]) for i in range(0, 200, 9))
+    changed = whole["ISC"].replace("this software", "the Example program")
+    rows = [(1, "intro\nReleased under the MIT License.\nend"), (2, "licensed under the apache license version 2 0"), (3, prose(50)), (4, None), (5, ""), (6, "MIT"), (6, "MIT"), (7, f"{prose(40)}\n{wrapped} {prose(300)}"), (8, f"Copyright 2020 The Example Authors. {changed} {prose(9)}"), (9, f"{whole['MIT']} {prose(50)} Licensed under CC BY-NC 4.0. {whole['MIT']}")]
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    brief = {d: (r["n_matches"], r["license"]) for d, r in got.items()}
+    assert brief == {1: (1, "MIT"), 2: (1, "Apache-2.0"), 3: (0, None), 4: (0, None), 5: (0, None), 6: (0, None), 7: (1, "MIT"), 8: (1, "ISC"), 9: (3, "MIT")}
+    assert got[1]["score"] == got[2]["score"] == got[7]["score"] == 1.0 and 0.8 <= got[8]["score"] < 1 and got[3]["score"] is None
+    assert (got[7]["matches"][0]["start"], [m["license"] for m in got[9]["matches"]]) == (len(rows[7][1][: rows[7][1].index("Permission")].split()), ["MIT", "CC-BY-NC-4.0", "MIT"])
     assert license_scan.scan_licenses(docs).count() == len(ROWS)
     assert license_scan.scan_licenses(none).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.8, 0.95])
+def test_license_key_words_lose_nothing(threshold):
+    keys = set(license_scan.key_words(license_scan.TEMPLATES, threshold))
+    for _, text in license_scan.TEMPLATES:
+        grams = license_scan._plain(text)
+        free = sum(not set(g.split()) & keys for g in grams)
+        assert free < threshold / (2 - threshold) * len(grams)
+
+
 def test_mixing(spark, docs, none, labels):
     members = spark.createDataFrame([(i, i, 10 + i, [0.9, 0.05, 0.05] if i % 3 else [0.1, 0.8, 0.1]) for i in range(60)], "doc_id long, text_key long, n_tokens long, p array<double>")
     rated, report = mixing.fit_rates(members, {"a": 0.8, "b": 0.1, "c": 0.1}, tokens=2000)
@@ -210,7 +243,7 @@ def test_token_codes(spark, docs, none, tmp_path):
     for r in token_dac.read_tokens(spark, out).collect():
         got[r["start"]] = (r["doc_id"], r["n_tokens"], np.frombuffer(bytes(r["ids"]), "<u4").tolist())
     tok, start, flat = Tokenizer.from_file(path), 0, []
-    for d, t in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for d, t in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0)):
         own = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
         assert got[start] == (d, len(own), own)
         start, flat = start + len(own), flat + own
@@ -225,7 +258,12 @@ def test_encoder_equals_the_tokenizer():
 
     e = token_dac.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     odd = ["", "  a   b\n\n c \n", "<|endoftext|> a <|endoftext|>", "don't  we're x 　y 日本語 🙂🙂 x", "a\x00b \x1c c", "\n", "tab\t x", "É É's 'sa ª²", "a\u0085 b  ", " ".join(["w"] * 500), "x" * 300]
-    assert e.encode(odd * 2) == e._raw(odd * 2)
+    rng = random.Random(3)
+    marks = [" ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "'s", "'", "a", "Zq", "é", "7", "½", ".", "$", "中", "я", "\u0301", "🙂", "<|endoftext|>", "\0"]
+    odd = [*odd, None, *["".join(rng.choices(marks, k=rng.randint(0, 9))) for _ in range(3000)]]
+    ids, counts = e.encode(pa.array(odd * 2, pa.string()))
+    want = [e.tok.encode(t or "", add_special_tokens=False).ids for t in odd * 2]
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
 
 
 def test_quality_model(spark, docs, none, labels):
