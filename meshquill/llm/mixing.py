@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, stored, words_col
+from .common import fresh, let, stored, words_col
 from .training import bounded_ids
 
 #: Bound of the labelled sample; likelihood ratio and documents from which a
@@ -47,9 +47,9 @@ def domain_col(quality: Column, toxic: Column) -> Column:
 
 
 def _features(words: Column) -> Column:
-    """Distinct lower-cased words and last two characters of words, and the
+    """Distinct words of a lower-cased text, their last two characters, and the
     empty feature, that every document has."""
-    return F.array_distinct(F.concat(F.transform(words, F.lower), F.transform(words, lambda x: F.concat(F.lit("-"), F.right(x, F.lit(2)))), F.array(F.lit(""))))
+    return let(F.array_distinct(words), lambda w: F.concat(w, F.array_distinct(F.transform(w, lambda x: F.concat(F.lit("-"), F.right(x, F.lit(2))))), F.array(F.lit(""))))
 
 
 def _fold(first: bool) -> Column:
@@ -69,7 +69,7 @@ def fit_weights(docs: DataFrame, sample: DataFrame, names: list[str], id_col: st
     sizes = {r["domain"]: r["n"] for r in own.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     n = np.array([sizes.get(d, 0) for d in names], float)
     every = float(n.sum())
-    seen = own.select("domain", F.explode(_features(words_col(F.col("text")))).alias("x"))
+    seen = own.select("domain", F.explode(_features(words_col(F.lower("text")))).alias("x"))
     counts = seen.groupBy("x").agg(F.count("*").cast("double").alias("c"), *[F.count(F.when(F.col("domain") == d, 1)).cast("double").alias(f"c{i}") for i, d in enumerate(names)])
     q = (F.col("c") + 0.5) / (every + 1)
     weights = []
@@ -113,7 +113,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, names: list[str], id_col: str
     sizes, weights = fit_weights(docs, sample, names, id_col, text_col)
     # a domain without a sample has no members, unless no domain has one
     prior = np.where(sizes > 0, np.log(np.maximum(sizes, 1) / max(sizes.sum(), 1)), NEVER if sizes.sum() else 0.0)
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), let(words_col(F.col(text_col)), lambda w: F.struct(F.size(w).cast("long").alias("n"), _features(w).alias("f"))).alias("t"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), let(words_col(F.lower(text_col)), lambda w: F.struct(F.size(w).cast("long").alias("n"), _features(w).alias("f"))).alias("t"))
     placed = texts.select("row", "doc_id", "text_key", F.col("t.n").alias("n_tokens"), F.explode("t.f").alias("x"))
     sums = placed.join(F.broadcast(weights), "x").groupBy("row", "doc_id", "text_key", "n_tokens").agg(*[F.sum(F.col("w")[d]).alias(f"s{d}") for d in range(len(names))])
     told = stored(sums.select("doc_id", "text_key", "n_tokens", F.array(*[f"s{d}" for d in range(len(names))]).alias("e")), "evidence")
@@ -202,7 +202,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, tokens: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every row as many times as its copies say."""
     plan = stored(mix(docs, labels, targets, tokens, id_col, text_col), "plan").filter("copies <> 1")
-    plan = plan.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("copies").alias("_n")).dropDuplicates(["_d", "_k"])
-    joined = docs.join(plan, docs[id_col].cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text_col) == F.col("_k")), "left")
-    times = F.array_repeat(F.lit(1), F.coalesce(F.col("_n"), F.lit(1)).cast("int"))
-    return joined.withColumn("_n", F.explode(times)).select(*docs.columns)
+    d, k, n = fresh(docs, "d", "k", "n")
+    plan = plan.select(F.col("doc_id").alias(d), F.col("text_key").alias(k), F.col("copies").alias(n)).dropDuplicates([d, k])
+    joined = docs.join(plan, docs[id_col].cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(docs[text_col]) == F.col(k)), "left")
+    times = F.array_repeat(F.lit(1), F.coalesce(F.col(n), F.lit(1)).cast("int"))
+    return joined.withColumn(n, F.explode(times)).select(*docs.columns)
