@@ -8,10 +8,9 @@ on that language; the least loss wins, and a small lead is flagged ambiguous.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +23,7 @@ MAX_LABELLED, DIMS, RIDGE = 4000, 2048, 0.05
 AMBIGUOUS = 0.6
 #: Languages up to which all distinct splits of the languages are used as bits.
 _EXHAUSTIVE = 6
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
@@ -137,7 +136,7 @@ def identify_language(docs: DataFrame, lang_col: str = "lang", id_col: str = "do
     language, whose crc32(id) mod 5 is not 0. Only the text is an input of a
     prediction.
 
-    Null texts and texts without a letter are ``und`` with score 0 and
+    Null texts and texts without a letter (Unicode category L) are ``und`` with score 0 and
     ambiguous; so is everything when no language could be learnt. A null id is
     not held out and never learnt from. Repeated rows each give a row. Other
     columns are ignored, whatever their names.
