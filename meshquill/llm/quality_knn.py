@@ -1,8 +1,8 @@
 """Quality classifier: nearest-neighbour voting among latent-semantic vectors.
 
-A bounded sample of labelled documents is turned into term vectors (classes of
-neighbouring bytes, word shapes, levels of repetition), weighted by tf-idf and
-projected on the leading singular directions. The labelled vectors, of fixed
+A bounded sample of labelled documents is turned into term vectors (words in
+hashed bins, classes of neighbouring bytes, word shapes, levels of repetition),
+weighted by tf-idf and projected on the leading singular directions. The labelled vectors, of fixed
 number and length, are broadcast; every document's exact cosine products with
 all of them are computed in blocks, and the nearest ones vote with their
 similarity as weight.
@@ -10,6 +10,8 @@ similarity as weight.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,13 +24,17 @@ from .training import bounded_ids, one_label, with_texts
 #: Bound of the labelled sample, rank of the projection, neighbours that vote.
 MAX_LABELLED, RANK, NEIGHBOURS = 4000, 48, 25
 THRESHOLD = 0.3
+#: A neighbour's weight is its similarity to this power.
+SHARPNESS = 1
 _N = 16
 _CLASS = np.full(256, 15, np.uint8)
 for _chars, _c in ((b"abcdefghijklmnopqrstuvwxyz", 1), (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2), (b"0123456789", 3), (b" \t\v\f\r", 4), (b"\n", 5), (b".", 7), (b",", 8), (b"!?", 9), (b"|", 10), (b"#*$%&", 11), (b"<>{}[]()=\\/;", 12), (b"-'\"_:", 13), (b"@+~^`", 14)):
     _CLASS[list(_chars)] = _c
 _CLASS[128:] = 6
 _LEVELS = 12
-SIZE = 2 * _N * _N + 5 * _LEVELS
+_VOCABULARY = 1 << 11
+_SHAPES = 2 * _N * _N + 5 * _LEVELS
+SIZE = _SHAPES + _VOCABULARY
 
 
 def _level(share: np.ndarray) -> np.ndarray:
@@ -57,9 +63,11 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if len(c) > 1:
             out[i, : _N * _N] = np.bincount(c[:-1] * _N + c[1:], minlength=_N * _N)
     starts, ends = bv.word_spans(data, offsets)
-    hashes, bounds = bv.word_hashes(data, offsets)
+    hashes, bounds = bv.word_hashes(data, offsets, (starts, ends))
     row = np.repeat(np.arange(n), np.diff(bounds))
     if len(starts):
+        term = row * _VOCABULARY + (hashes >> np.uint64(53)).astype(np.int64)
+        out[:, _SHAPES:] = np.bincount(term, minlength=n * _VOCABULARY).reshape(n, -1)
         shape = row * _N * _N + cls[starts].astype(np.int64) * _N + cls[ends - 1]
         out[:, _N * _N : 2 * _N * _N] = np.bincount(shape, minlength=n * _N * _N).reshape(n, -1)
     words = np.maximum(np.diff(bounds), 1)
@@ -83,6 +91,16 @@ def batch_counts(col) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros((0, SIZE), np.float32)
 
 
+def leading(x: np.ndarray, rank: int, rounds: int = 6) -> np.ndarray:
+    """The leading right singular vectors of x, by subspace iteration."""
+    start = np.random.default_rng(1).standard_normal((x.shape[1], min(rank + 16, x.shape[1]))).astype(np.float32)
+    q = np.linalg.qr(start)[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    _, vectors = np.linalg.eigh((q.T @ (x.T @ (x @ q))).astype(np.float64))
+    return np.ascontiguousarray(q @ vectors[:, ::-1][:, :rank].astype(np.float32))
+
+
 class Model:
     """Latent-semantic vectors of the labelled sample."""
 
@@ -90,8 +108,7 @@ class Model:
         n = len(counts)
         self.idf = (np.log((1 + n) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
         x = self._weigh(counts)
-        _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-        self.axes = np.ascontiguousarray(vectors[:, ::-1][:, :rank]).astype(np.float32)
+        self.axes = leading(x, rank)
         self.points, self.labels, self.k = self._unit(x @ self.axes), labels.astype(np.float64), min(neighbours, n)
 
     def _weigh(self, counts):
@@ -111,7 +128,7 @@ class Model:
             sim = self._unit(self._weigh(counts[lo : lo + 256]) @ self.axes) @ self.points.T
             least = np.partition(sim, -self.k, axis=1)[:, -self.k][:, None]
             row, near = np.nonzero(sim >= least)  # all ties vote
-            weight = np.maximum(sim[row, near].astype(np.float64), 0) ** 8
+            weight = np.maximum(sim[row, near].astype(np.float64), 0) ** SHARPNESS
             total = np.bincount(row, weight, len(sim))
             votes = np.bincount(row, weight * self.labels[near], len(sim))
             out[lo : lo + 256] = np.where(total > 0, votes / np.maximum(total, 1e-300), self.labels.mean())
@@ -127,11 +144,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         for b in batches:
             if b.num_rows:
                 counts = batch_counts(b.column(1))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([c.tobytes() for c in counts], pa.binary())], names=["doc_id", "y", "counts"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([zlib.compress(c.tobytes(), 1) for c in counts], pa.binary())], names=["doc_id", "y", "counts"])
 
     rows = with_texts(docs, ids, id_col, text_col).select("doc_id", "text", "y").mapInArrow(scan, "doc_id long, y int, counts binary").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r["doc_id"])
-    counts = np.frombuffer(b"".join(bytes(r["counts"]) for r in rows), np.float32).reshape(-1, SIZE)
+    counts = np.frombuffer(b"".join(zlib.decompress(r["counts"]) for r in rows), np.float32).reshape(-1, SIZE)
     return Model(counts, np.array([r["y"] for r in rows], np.float64))
 
 
