@@ -66,7 +66,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(read_table(spark, sf_dir, "documents"))
     counts = [pii.count_kind(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS[:4]]
-    return found.select("doc_id", *counts, F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"), *[pii.count_kind(F.col("spans"), k).alias(f"n_{k}") for k in pii.KINDS[4:]], F.size("spans").cast("long").alias("n_spans"))
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_simhash, op4_quality, op5_mixing, op6_language, op7_quality_rules, op8_token_ids, op9_decontamination, op10_pii)}
