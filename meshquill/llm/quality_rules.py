@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, words_col
+from .common import SPACES, fresh, let, words_col
 from .training import bounded_ids, one_label
 
 BINS = 1 << 14
@@ -105,11 +105,12 @@ def apply_rules(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
     label all scores are 0, so only the base decides. Null ids are never
     trusted; repeated labels count by majority, 1 on a tie. Repeated documents
     each give a row. Other columns are ignored, whatever their names; with
-    keep_columns the result has docs' own columns and ``_kept`` instead.
+    keep_columns the result is the rows of docs that are kept.
     """
     ratios = literal(log_ratios(docs, labels, label_col, id_col, text_col, max_trusted))
     own = docs if keep_columns else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     text = F.col(text_col if keep_columns else "text")
+    q, kept = fresh(own, "q", "kept")
 
     def judge(w):
         mean = let(ngram_bins(w), lambda f: F.aggregate(f, F.lit(0.0), lambda a, j: a + F.get(ratios, j)) / F.greatest(F.size(f), F.lit(1)))
@@ -118,10 +119,10 @@ def apply_rules(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
 
     # bound in a lambda: a filter that Spark moves below would otherwise carry
     # the splitting of the text into every inner lambda
-    judged = own.withColumn("_q", let(words_col(text), judge))
-    n, rep = F.col("_q.n_words"), F.col("_q.n_repeat_words")
+    judged = own.withColumn(q, let(words_col(text), judge))
+    n, rep = F.col(f"{q}.n_words"), F.col(f"{q}.n_repeat_words")
     failed = (n < MIN_WORDS) | (100 * rep > MAX_REPEAT_PERCENT * n)
+    verdict = ~failed & (F.col(f"{q}.score") >= threshold)
     if keep_columns:
-        return judged.withColumn("_kept", ~failed & (F.col("_q.score") >= threshold)).drop("_q")
-    out = judged.select("doc_id", "_q.*").withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+        return judged.filter(verdict).select(*docs.columns)
+    return judged.select("doc_id", f"{q}.*", failed.alias("base_failed"), verdict.alias(kept))

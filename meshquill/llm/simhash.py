@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesvec import as_array
-from .common import drop_scratch, n_tasks, ship, stored
+from .common import drop_scratch, fresh, n_tasks, ship, stored
 from .graycode import GrayIndex, components
 
 SHINGLE, LIMIT = 3, 2
@@ -164,5 +164,6 @@ def keep_one(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_c
     """docs without the documents whose class has a smaller id. Rows that
     share the kept id all stay, as do rows with a null id."""
     found = near_duplicates(docs, limit, id_col, text_col)
-    gone = stored(found.filter("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    (name,) = fresh(docs, "gone")
+    gone = stored(found.filter("doc_id > component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(gone, docs[id_col].cast("long") == F.col(name), "left_anti")
