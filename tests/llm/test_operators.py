@@ -27,12 +27,13 @@ def prose(n):
 PASSAGE, ITEM = prose(40), prose(30)
 TEXTS = [prose(120), f"{prose(60)}\n{PASSAGE} {prose(30)}", f"{PASSAGE}\t{prose(70)}", None, "", " \n ", "word", ITEM.upper() + " " + prose(20), prose(4000), f"{prose(900)} {ITEM} {prose(10)}", "x y z " * 60, "same line\nsame line\nother | line ### $$$", "Mail a.b@c-d.example.com or +1 (555) 123-4567, 10.0.0.255; 4111 1111 1111 1111!", "a@b.c_d@e.f 1.2.3.4.5 300.1.1.1 é@x.y", "tab\t\ttab  two   three\n\n  four"]
 ROWS = [(i, t) for i, t in enumerate(TEXTS)] + [(20, TEXTS[0]), (21, TEXTS[0] + " more"), (20, TEXTS[0]), (None, TEXTS[2]), (22, PASSAGE), (23, prose(200) + " " + "-" * 300)]
-SCHEMA = "doc_id long, text string, lang string, source string, w string, row long, chunk int, score double"
+CLASHES = "w row chunk score q _q kept gone _gone d _d k _k n _n spans removed held base tie pos term h fp root".split()
+SCHEMA = "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in CLASHES)
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([(d, t, None if i % 5 == 0 else "en", None, "w", 1, 2, None) for i, (d, t) in enumerate(ROWS)], SCHEMA).cache()
+    return spark.createDataFrame([(d, t, None if i % 5 == 0 else "en", None, *CLASHES) for i, (d, t) in enumerate(ROWS)], SCHEMA).cache()
 
 
 @pytest.fixture(scope="module")
@@ -107,7 +108,7 @@ def test_quality_rules(docs, none, labels):
         assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
         assert r["kept"] == (not r["base_failed"] and r["score"] >= quality_rules.THRESHOLD)
     kept = quality_rules.apply_rules(docs, labels, keep_columns=True)
-    assert kept.columns == [*docs.columns, "_kept"] and kept.filter("_kept").count() == sum(r["kept"] for r in got)
+    assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in got)
     assert {r["score"] for r in quality_rules.apply_rules(docs, labels.limit(0)).collect()} == {0.0}
     assert quality_rules.apply_rules(none, labels).count() == 0
 
@@ -175,6 +176,8 @@ def test_pii(spark, docs, none):
     spans = {r["doc_id"]: r["s"] for r in found.select("doc_id", pii.span_text(F.col("spans")).alias("s")).collect()}
     assert spans[0] == "term:9:16,email:20:29" and spans[4] == ""
     texts = {r["doc_id"]: r["text"] for r in pii.sanitise(own, found).collect()}
+    secret = spark.createDataFrame([(1, 'key = "0f3a9c0f3a9c0f3a9c0f3a9c0f"; ' + "a" * 60), (2, "-" * 90 + "1" * 40)], "doc_id long, text string")
+    assert [r["text"] for r in pii.sanitise(secret, pii.find_spans(secret)).orderBy("doc_id").collect()] == ['key = "<SECRET>"; ' + "a" * 60, "-" * 90 + "1" * 40]
     assert texts[0] == "write to  at <EMAIL> now please" and texts[5] == rows[5][1]
 
 
@@ -340,4 +343,17 @@ def test_pii_terms_of_the_whole_text(spark):
     places = [(s["start"], s["end"]) for s in found.filter("doc_id = 0").first()["spans"] if s["value"] == "zorblax"]
     assert places == [(0, 7), (rows[0][1].index("zorblax"), rows[0][1].index("zorblax") + 7)]
     texts = {r["doc_id"]: r["text"] for r in pii.sanitise(own, found).collect()}
+    secret = spark.createDataFrame([(1, 'key = "0f3a9c0f3a9c0f3a9c0f3a9c0f"; ' + "a" * 60), (2, "-" * 90 + "1" * 40)], "doc_id long, text string")
+    assert [r["text"] for r in pii.sanitise(secret, pii.find_spans(secret)).orderBy("doc_id").collect()] == ['key = "<SECRET>"; ' + "a" * 60, "-" * 90 + "1" * 40]
     assert "zorblax" not in texts[0].lower() and texts[5] == rows[5][1]
+
+
+def test_clashing_columns_stay(spark, docs, none, labels):
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    import corpus_pipeline
+
+    for d in (docs, none):
+        for out in (quality_rules.apply_rules(d, labels, keep_columns=True), simhash.keep_one(d), mixing.mixed(d, labels), pii.sanitise(d, pii.find_spans(d))):
+            assert out.columns == d.columns and out.count() <= 3 * len(ROWS)
+        assert decontaminate.contamination(d, bench).count() == d.count()
+    assert corpus_pipeline.STAGES[2][1].__name__ == "drop_contaminated"
