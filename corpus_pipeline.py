@@ -11,35 +11,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshquill.llm import decontaminate, mixing, quality_rules, simhash
-from meshquill.llm.common import read_table, stored
+from meshquill.llm.common import fresh, read_table, stored
 from meshquill.llm.registry import token_ids
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    judged = quality_rules.apply_rules(docs, read_table(spark, sf_dir, "labels"), keep_columns=True)
-    return judged.filter("_kept").select(*docs.columns)
+    """Documents that the quality rules keep. Null and empty texts have no words
+    and go; repeated rows are judged alike; an empty table stays empty."""
+    return quality_rules.apply_rules(docs, read_table(spark, sf_dir, "labels"), keep_columns=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each near-duplicate group."""
+    """One document, of the smallest id, of each near-duplicate group. Rows with a
+    null id stay, as do rows that share the kept id; null and empty texts are
+    one group; an empty table stays empty."""
     return simhash.keep_one(docs, limit=2)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark passage contaminates."""
-    found = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    gone = stored(found.filter("contaminated").select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """Documents that no benchmark passage contaminates. Rows with a null id, and
+    null and empty texts, stay; rows that share a contaminated one's id go."""
+    found = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"), near=0)
+    (name,) = fresh(docs, "gone")
+    gone = stored(found.filter("contaminated").select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their mixing rates say."""
+    """Documents as often as their mixing rates say. Repeated rows have the same
+    rate; null and empty texts have no tokens and rate 1."""
     return mixing.mixed(docs, read_table(spark, sf_dir, "labels"))
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in directly addressable codes, written and read back."""
+    """Token ids in directly addressable codes, written and read back. A null
+    text has only the end id; a null id stands first."""
     return token_ids(spark, docs)
 
 
