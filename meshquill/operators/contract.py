@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import MISSING, GraphTables, GraphView
-from ..runtime import MAX_ROUNDS, settle
+from ..runtime import settle
 from .filters import hidden_by_type, hidden_ids, inverted
 
 G = "graph_id"
@@ -32,25 +32,27 @@ def owners(mask: DataFrame, edges: DataFrame) -> DataFrame:
     gives its source; then passes over the edges between hidden nodes, in edge
     order, hand owners on until nothing changes. That is an earliest-arrival
     problem: an owner arrives at (pass, edge), goes on in the same pass along
-    later edges and in the next along earlier ones; the least arrival stays.
+    later edges and in the next along earlier ones; the least arrival stays, and
+    its edge names the node whose owner goes on.
     """
     m = mask.filter("not id_hidden")
     end = lambda name: m.select(G, F.col("idx").alias(name), F.col("hidden").alias(f"h_{name}"))
     e = edges.join(end("src"), [G, "src"]).join(end("dst"), [G, "dst"]).filter("h_dst").select(G, "eidx", "src", "dst", "h_src")
-    direct = e.filter("not h_src").groupBy(G, F.col("dst").alias("idx")).agg(F.min(F.struct(F.lit(0).alias("round"), F.col("eidx"), F.col("src").alias("rep"))).alias("t"))
+    direct = e.filter("not h_src").groupBy(G, F.col("dst").alias("idx")).agg(F.min(F.struct(F.lit(0).alias("round"), F.col("eidx"), F.col("src").alias("up"))).alias("t"))
     inner = settle(e.filter("h_src").select(G, "eidx", F.col("src").alias("idx"), "dst"))
-    best = settle(direct)
-    front = best
-    for _ in range(MAX_ROUNDS * 50):
-        if front.isEmpty():
-            return best.select(G, "idx", F.col("t.rep").alias("rep"))
+    best = front = settle(direct)
+    while not front.isEmpty():
         step = front.join(inner, [G, "idx"])
         later = (F.col("t.round") > 0) & (F.col("eidx") > F.col("t.eidx"))
-        came = step.select(G, F.col("dst").alias("idx"), F.struct((F.col("t.round") + F.when(later, 0).otherwise(1)).alias("round"), F.col("eidx"), F.col("t.rep").alias("rep")).alias("c")).groupBy(G, "idx").agg(F.min("c").alias("c"))
-        new = settle(came.join(best, [G, "idx"], "left").filter("t is null or c < t").select(G, "idx", F.col("c").alias("t")))
-        best = settle(best.join(new.select(G, "idx"), [G, "idx"], "left_anti").unionByName(new))
-        front = new
-    raise RuntimeError("owners did not settle")
+        came = step.select(G, F.col("dst").alias("to"), F.struct((F.col("t.round") + F.when(later, 0).otherwise(1)).alias("round"), F.col("eidx"), F.col("idx").alias("up")).alias("c")).groupBy(G, F.col("to").alias("idx")).agg(F.min("c").alias("c"))
+        both = settle(best.join(came, [G, "idx"], "full").select(G, "idx", F.least("t", "c").alias("t"), F.coalesce(F.col("c") < F.col("t"), F.col("t").isNull()).alias("new")))
+        best, front = both.drop("new"), both.filter("new").drop("new")
+    # owners along the edges of least arrival, in doubling steps
+    known = best.select(G, "idx", "t.up", F.when(F.col("t.round") == 0, F.col("t.up")).alias("rep"))
+    while not known.filter("rep is null").isEmpty():
+        above = known.select(G, F.col("idx").alias("up"), F.col("up").alias("up2"), F.col("rep").alias("rep2"))
+        known = settle(known.join(above, [G, "up"], "left").select(G, "idx", F.coalesce("up2", "up").alias("up"), F.coalesce("rep", "rep2").alias("rep")))
+    return known.select(G, "idx", "rep")
 
 
 def contraction(tables: GraphTables, view: GraphView, radii: DataFrame) -> DataFrame | None:

@@ -59,3 +59,16 @@ def in_view(x: Column, y: Column, camera: tuple[float, float, float], width: flo
 
 def edges_worth_drawing(length: Column, zoom: float, least_px: float = 1.5) -> Column:
     return length * zoom >= least_px
+
+
+def cycles_only(tables: GraphTables, view: GraphView, contracted: DataFrame | None) -> DataFrame:
+    """(graph_id, idx) of the visible nodes; with ``cyclesOnly`` only those on a
+    cycle of the current contraction, under the view's edge filter."""
+    from .contract import contracted_edges
+    from .traverse import components
+
+    visible = (tables.nodes if contracted is None else contracted.filter(~F.col("hidden"))).select("graph_id", "idx")
+    if not view.cyclesOnly:
+        return visible
+    edges = contracted_edges(edge_type_filter(tables.edges, view.hiddenEdgeTypes), contracted)
+    return visible.join(components(edges).select("graph_id", "idx"), ["graph_id", "idx"], "left_semi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,13 +22,12 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     out, are taken away again and again: empty where nothing is cyclic."""
     e = settle(_plain(edges))
     n = e.count()
-    for _ in range(MAX_ROUNDS):
+    while True:  # every round takes an edge away, or ends
         left = e.join(e.select(G, F.col("dst").alias("src")).distinct(), [G, "src"], "left_semi").join(e.select(G, F.col("src").alias("dst")).distinct(), [G, "dst"], "left_semi")
         e = settle(left.select(G, "src", "dst"))
         was, n = n, e.count()
         if n in (0, was):
             return e
-    raise RuntimeError("trimming did not end")
 
 
 def has_any_cycle(graphs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -104,14 +105,15 @@ def _prune(edges: DataFrame, scc: DataFrame) -> DataFrame:
     return edges.join(s("src"), [G, "src"]).join(s("dst"), [G, "dst"]).filter("s_src = s_dst").select(G, "eidx", "src", "dst")
 
 
-def lexmin_paths(starts: DataFrame, edges: DataFrame, close: DataFrame | None = None, max_length: int = MAX_ROUNDS) -> DataFrame:
+def lexmin_paths(starts: DataFrame, edges: DataFrame, close: DataFrame | None = None, on_first: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """(graph_id, start, goal, path): shortest walks from each start to its
     goal (a first edge leads away); of equal ones the least by edge order.
 
     starts: graph_id, start, goal. Each level keeps one path for a (start,
     goal, node), which makes the search equal to a queue's in edge order.
     path is an array of (eidx, src) steps. close maps nodes to goals (goal =
-    the node itself where it is None).
+    the node itself where it is None). on_first is called once, with the first
+    paths that are found, long before the longest are.
     """
     e = edges.select(G, F.col("src").alias("node"), F.struct("eidx", "src").alias("step"), "dst")
     if close is not None:
@@ -121,26 +123,29 @@ def lexmin_paths(starts: DataFrame, edges: DataFrame, close: DataFrame | None =
     e = settle(e)
     state = settle(starts.select(G, "start", "goal", F.col("start").alias("node"), F.array().cast(f"array<{e.schema['step'].dataType.simpleString()}>").alias("path")))
     seen, found, key = state.select(G, "start", "goal", "node"), None, [G, "start", "goal"]
-    for _ in range(max_length):
+    while True:  # a level reaches new nodes, or ends
         grown = state.join(e, [G, "node"]).select(*key, F.col("dst").alias("node"), "hit", F.concat("path", F.array("step")).alias("path"))
         best = settle(grown.groupBy(*key, "node", "hit").agg(F.min("path").alias("path")))
         done = settle(best.filter("hit = goal").groupBy(*key).agg(F.min("path").alias("path")))
         found = done if found is None else settle(found.unionByName(done))
+        if on_first and not done.isEmpty():
+            on_first(done)
+            on_first = None
         onward = best.filter(F.col("hit") == F.col("start")) if close is not None else best
         state = settle(onward.join(done, key, "left_anti").join(seen, [*key, "node"], "left_anti").select(*key, "node", "path"))
         if state.isEmpty():
             return found
         seen = settle(seen.unionByName(state.select(*key, "node")))
-    raise RuntimeError("the search did not end")
 
 
-def shortest_cycles(edges: DataFrame, scc: DataFrame | None = None) -> DataFrame:
+def shortest_cycles(edges: DataFrame, scc: DataFrame | None = None, on_first: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """(graph_id, seq, cycle): the shortest cycle through each node of a
-    component, first of each visual key by start node, shortest first."""
+    component, first of each visual key by start node, shortest first.
+    on_first is called once, as soon as any cycle is known."""
     scc = components(edges) if scc is None else scc
     inner = settle(_prune(edges.filter("src <> dst"), scc))
     starts = scc.select(G, F.col("idx").alias("start"), F.col("idx").alias("goal"))
-    raw = lexmin_paths(starts, inner).select(G, "start", F.transform("path", lambda s: s["src"]).alias("cycle"))
+    raw = lexmin_paths(starts, inner, on_first=on_first).select(G, "start", F.transform("path", lambda s: s["src"]).alias("cycle"))
     return ordered_cycles(raw)
 
 

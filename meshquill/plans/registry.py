@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import globs, keys
@@ -10,12 +12,12 @@ from ..functions.display import community_rgb
 from ..model import GraphTables, GraphView
 from ..operators import bundle, community, contract, filters, geometry, layout, lookups, traverse
 from ..runtime import settle
-from ..sources import generators, normalise, tables
+from ..sources import generators, json_graph, normalise, tables
 
 G = "graph_id"
 STEP = tables.STEP
 FOLD = GraphView(hiddenNodeTypes=frozenset({3, 6}))  # customers and orders
-THIN = 60.0
+FOLD_CLIENTS = GraphView(hiddenNodeTypes=frozenset({2}))
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -44,11 +46,45 @@ _PURCHASE = f"WITH RECURSIVE {_NODES}, {_EDGES}"
 _DEGREES = "deg AS (SELECT idx, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree FROM nodes LEFT JOIN (SELECT dst AS idx, count(*) AS i FROM edges GROUP BY 1) USING (idx) LEFT JOIN (SELECT src AS idx, count(*) AS o FROM edges GROUP BY 1) USING (idx))"
 
 
-def _handoff(least: float = 0.0) -> str:
-    return f"""WITH RECURSIVE steps AS (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS dst, event_type, ts, event_id FROM events WHERE value > {least}),
- edges AS (SELECT src, dst, first(event_type ORDER BY ts, event_id) AS type FROM steps WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst),
+_STEPS = """WITH RECURSIVE steps AS (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS dst, event_type, ts, event_id FROM events),
+ met AS (SELECT * FROM steps WHERE dst IS NOT NULL AND src <> dst),
  nodes AS (SELECT DISTINCT user_id AS idx FROM events),
+ """
+_REACH = """,
  reach(a, b) AS (SELECT src, dst FROM edges UNION SELECT a, dst FROM reach JOIN edges ON b = src)"""
+_HANDOFF = _STEPS + "edges AS (SELECT src, dst, first(event_type ORDER BY ts, event_id) AS type FROM met GROUP BY src, dst)" + _REACH
+_CONTACT = _STEPS + """ends AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY src ORDER BY ts, event_id) = 1 OR row_number() OVER (PARTITION BY src ORDER BY ts DESC, event_id DESC) = 1),
+ edges AS (SELECT src, dst, first(event_type ORDER BY ts, event_id) AS type FROM ends GROUP BY src, dst)""" + _REACH
+# Shortest distances, and of the shortest ways back to each node the least by its nodes.
+_CYCLES = """, far(a, b, d) AS (SELECT src, dst, 1 FROM edges UNION SELECT a, dst, d + 1 FROM far JOIN edges ON b = src WHERE d < 60 AND a <> b),
+ dist AS (SELECT a, b, min(d) AS d FROM far GROUP BY a, b), len AS (SELECT a, d FROM dist WHERE a = b),
+ way(a, tip, path) AS (SELECT a, a, [a] FROM len UNION ALL SELECT way.a, e.dst, list_append(path, e.dst) FROM way JOIN len USING (a) JOIN edges e ON e.src = way.tip JOIN dist ON dist.a = e.dst AND dist.b = way.a WHERE e.dst <> way.a AND len(path) + dist.d = len.d),
+ least AS (SELECT way.a AS start, min(path) AS cycle FROM way JOIN len USING (a) WHERE len(path) = len.d GROUP BY way.a),
+ turned AS (SELECT start, cycle, list_concat(cycle[list_position(cycle, list_min(cycle)):], cycle[:list_position(cycle, list_min(cycle)) - 1]) AS r FROM least),
+ keyed AS (SELECT start, cycle, CASE WHEN len(r) <= 5 THEN array_to_string(r, ',') ELSE concat_ws('|', r[1], r[2], r[-1], len(r)) END AS key FROM turned),
+ cycles AS (SELECT start, cycle FROM keyed QUALIFY row_number() OVER (PARTITION BY key ORDER BY start) = 1)"""
+# Owners of folded clients: the earliest arrival over (pass, edge), then owners along the edges that gave it.
+_OWNERS = """, cl AS (SELECT idx, idx % 25 <> 0 AS hidden FROM nodes), ce AS (SELECT src, dst, s.hidden AS h FROM edges JOIN cl s ON s.idx = src JOIN cl d ON d.idx = dst WHERE d.hidden),
+ arr(idx, r, es, ed) AS (SELECT dst, 0, min(src), dst FROM ce WHERE NOT h GROUP BY dst UNION SELECT ce.dst, CASE WHEN r > 0 AND (ce.src, ce.dst) > (es, ed) THEN r ELSE r + 1 END, ce.src, ce.dst FROM arr JOIN ce ON ce.src = arr.idx AND ce.h WHERE r < 40),
+ got AS (SELECT idx, r, es FROM arr QUALIFY row_number() OVER (PARTITION BY idx ORDER BY r, es, ed) = 1),
+ own(idx, rep) AS (SELECT idx, es FROM got WHERE r = 0 UNION SELECT got.idx, own.rep FROM own JOIN got ON got.es = own.idx AND got.r > 0),
+ remap AS (SELECT cl.idx, cl.hidden, CASE WHEN cl.hidden THEN own.rep ELSE cl.idx END AS rep FROM cl LEFT JOIN own USING (idx)),
+ cedges AS (SELECT DISTINCT a.rep AS src, b.rep AS dst FROM edges JOIN remap a ON a.idx = src JOIN remap b ON b.idx = dst WHERE a.rep <> b.rep)"""
+
+# Cycles between owners: runs of one owner are one step, also round the end; then
+# first of each key, ids by FNV-1a, and the smallest cycle of each node.
+_BUNDLES = _CYCLES + _OWNERS + """, step AS (SELECT start, p.i, cycle[p.i] AS idx, rep FROM cycles, LATERAL (SELECT unnest(range(1, len(cycle) + 1)) AS i) p JOIN remap ON remap.idx = cycle[p.i]),
+ part AS (SELECT *, rep IS DISTINCT FROM lag(rep) OVER (PARTITION BY start ORDER BY i) AS turn FROM step WHERE start NOT IN (SELECT start FROM step WHERE rep IS NULL)),
+ runs AS (SELECT start, run, any_value(rep) AS rep, list(idx ORDER BY i) AS g FROM (SELECT *, sum(turn::INT) OVER (PARTITION BY start ORDER BY i) AS run FROM part) GROUP BY start, run),
+ folded AS MATERIALIZED (SELECT start, list(rep ORDER BY run) AS reps, list(g ORDER BY run) AS gs FROM runs GROUP BY start),
+ round AS (SELECT start, CASE WHEN len(reps) > 1 AND reps[1] = reps[-1] THEN reps[:-2] ELSE reps END AS cycle, CASE WHEN len(reps) > 1 AND reps[1] = reps[-1] THEN list_concat([list_concat(gs[-1], gs[1])], gs[2:-2]) ELSE gs END AS groups FROM folded),
+ spun AS (SELECT *, list_concat(cycle[list_position(cycle, list_min(cycle)):], cycle[:list_position(cycle, list_min(cycle)) - 1]) AS r FROM round WHERE len(cycle) >= 2),
+ unlike AS (SELECT *, array_to_string(r, ',') AS key FROM spun QUALIFY row_number() OVER (PARTITION BY CASE WHEN len(r) <= 5 THEN array_to_string(r, ',') ELSE concat_ws('|', r[1], r[2], r[-1], len(r)) END ORDER BY start) = 1),
+ firsts AS (SELECT * FROM unlike QUALIFY row_number() OVER (PARTITION BY key ORDER BY len(cycle), start) = 1),
+ named AS (SELECT row_number() OVER (ORDER BY len(cycle), start) AS seq, start, cycle, groups, key, printf('%08x', list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)) AS cycle_id FROM firsts),
+ mem AS (SELECT cycle_id, seq, p.i AS pos, cycle[p.i] AS idx FROM named, LATERAL (SELECT unnest(range(1, len(cycle) + 1)) AS i) p),
+ tiny AS (SELECT idx, arg_min(cycle_id, seq) AS other FROM mem GROUP BY idx),
+ refs AS (SELECT cycle_id, count(DISTINCT other) FILTER (other <> cycle_id) AS n FROM mem JOIN tiny USING (idx) GROUP BY cycle_id)"""
 
 
 _LINKS = """WITH raw AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS target, generate_subscripts(regexp_extract_all(html, 'href="([^"]+)"', 1), 1) AS epos FROM pages),
@@ -62,7 +98,11 @@ def purchase(spark: SparkSession, sf_dir: str) -> GraphTables:
 
 
 def handoff(spark: SparkSession, sf_dir: str) -> GraphTables:
-    return tables.handoff_graph(spark, sf_dir, THIN)
+    return tables.handoff_graph(spark, sf_dir)
+
+
+def contact(spark: SparkSession, sf_dir: str) -> GraphTables:
+    return tables.contact_graph(spark, sf_dir)
 
 
 def _radii(t: GraphTables) -> DataFrame:
@@ -112,6 +152,55 @@ def load_diagnostics(spark, sf_dir):
     return normalise.diagnostics(*tables.link_tables(spark, sf_dir)).drop(G)
 
 
+# -- adjacency-list documents, one a nation
+
+def documents(spark, sf_dir, spoilt: bool = False) -> DataFrame:
+    """(graph_id, text): a nation's customers, by key, point to themselves, to
+    their orders, and to the first one again. Spoilt ones break a rule each."""
+    t = lambda n: tables.read(spark, sf_dir, n)
+    name = F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))
+    orders = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", F.struct(name.alias("nodeId"), F.lit("places").alias("edgeType")).alias("e")))).alias("o"))
+    some = F.transform("o", lambda x: F.to_json(x["e"]))
+    again = F.transform(F.slice("o", F.lit(1), F.lit(1)), lambda x: F.concat(F.lit('"'), x["e"]["nodeId"], F.lit('"')))
+    own = F.array(F.col("c_custkey").cast("string"))
+    edges = F.concat(F.lit("["), F.array_join(F.when(F.col("o").isNull(), own).otherwise(F.concat(own, some, again)), ","), F.lit("]"))
+    label = F.when((F.col("c_nationkey") % 5 == 2) & F.lit(spoilt), "7").otherwise(F.concat(F.lit('"'), F.col("c_name"), F.lit('"')))
+    key = F.when((F.col("c_nationkey") % 5 == 3) & F.lit(spoilt), F.lit(1)).otherwise(F.col("c_custkey"))
+    node = F.concat(F.lit('{"id":'), key.cast("string"), F.lit(',"label":'), label, F.lit(',"type":"customer","edges":'), F.when((F.col("c_nationkey") % 5 == 4) & F.lit(spoilt), F.lit('"none"')).otherwise(edges), F.lit("}"))
+    listed = t("customer").join(orders, "c_custkey", "left").groupBy("c_nationkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", node.alias("n")))), lambda x: x["n"]), ",").alias("n"))
+    end = F.when((F.col("c_nationkey") % 5 == 1) & F.lit(spoilt), F.lit("]")).otherwise(F.lit("]}"))
+    return listed.select(F.concat(F.lit("nation/"), F.col("c_nationkey").cast("string")).alias("graph_id"), F.concat(F.lit('{"nodes":['), "n", end).alias("text"))
+
+
+_JSON = """WITH cust AS (SELECT 'nation/' || c_nationkey AS graph_id, c_custkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS idx, count(*) OVER (PARTITION BY c_nationkey) AS n0 FROM customer),
+ made AS (SELECT graph_id, idx AS src, n0 + row_number() OVER (PARTITION BY graph_id ORDER BY idx, o_orderkey) - 1 AS dst, 'o' || o_orderkey AS id FROM cust JOIN orders ON o_custkey = c_custkey)"""
+
+
+@query(_JSON + " SELECT graph_id, idx, c_custkey::VARCHAR AS id, c_name AS label, 'customer' AS type, true AS declared FROM cust UNION ALL SELECT graph_id, dst, id, id, 'missing', false FROM made")
+def json_nodes(spark, sf_dir):
+    return json_graph.load_graphs(documents(spark, sf_dir)).nodes.select(G, "idx", "id", "label", "type", "declared")
+
+
+@query(_JSON + " SELECT graph_id, row_number() OVER (PARTITION BY graph_id ORDER BY src, dst) - 1 AS eidx, src, dst, 'places' AS type FROM made")
+def json_edges(spark, sf_dir):
+    return json_graph.load_graphs(documents(spark, sf_dir)).edges.select(G, "eidx", "src", "dst", "type")
+
+
+@query("SELECT 'nation/' || c_nationkey AS graph_id, CASE c_nationkey % 5 WHEN 1 THEN 'Invalid JSON' WHEN 2 THEN 'nodes[0].label must be a string' WHEN 3 THEN 'duplicate node id 1' ELSE 'nodes[0].edges must be an array' END AS message FROM customer GROUP BY c_nationkey HAVING c_nationkey % 5 IN (1, 2, 4) OR (c_nationkey % 5 = 3 AND count(*) > 1)")
+def json_errors(spark, sf_dir):
+    return json_graph.first_violations(documents(spark, sf_dir, spoilt=True))
+
+
+@query(_JSON + ", n AS (SELECT graph_id, count(*) AS customers FROM cust GROUP BY 1), m AS (SELECT graph_id, count(*) AS orders, list(src ORDER BY src, dst) AS s, list(dst ORDER BY src, dst) AS d FROM made GROUP BY 1) SELECT graph_id, customers + coalesce(orders, 0) AS node_count, coalesce(flatten(list_transform(range(1, orders + 1), lambda i: [s[i], d[i]])), []) AS edges_flat FROM n LEFT JOIN m USING (graph_id)")
+def json_export(spark, sf_dir):
+    return json_graph.to_document(json_graph.load_graphs(documents(spark, sf_dir))).select(G, "node_count", "edges_flat")
+
+
+@query(_JSON + " SELECT graph_id, count(*) AS created_missing, count(*) + count(DISTINCT src) AS edges_to_missing FROM made GROUP BY 1")
+def json_diagnostics(spark, sf_dir):
+    return normalise.diagnostics(*json_graph.raw_tables(documents(spark, sf_dir))).filter("created_missing > 0").drop("dropped_self")
+
+
 # -- degrees, counts, histograms
 
 @query(_PURCHASE + f", {_DEGREES} SELECT idx, in_degree, out_degree FROM deg")
@@ -156,7 +245,7 @@ def out_neighbors(spark, sf_dir):
     return lookups.out_neighbours(purchase(spark, sf_dir), STEP + 3).drop(G)
 
 
-@query(_handoff(THIN) + ", x AS (SELECT 1) SELECT n.idx, (SELECT count(*) FROM edges e WHERE e.dst = n.idx) AS n_in, (SELECT count(*) FROM edges e WHERE e.src = n.idx) AS n_out FROM nodes n")
+@query(_HANDOFF + ", x AS (SELECT 1) SELECT n.idx, (SELECT count(*) FROM edges e WHERE e.dst = n.idx) AS n_in, (SELECT count(*) FROM edges e WHERE e.src = n.idx) AS n_out FROM nodes n")
 def neighbor_counts(spark, sf_dir):
     return lookups.neighbour_counts(handoff(spark, sf_dir)).drop(G)
 
@@ -203,7 +292,7 @@ def incident_edges(spark, sf_dir):
     return filters.incident_edges(purchase(spark, sf_dir).edges, STEP + 3).select("src", "dst", "type")
 
 
-@query(_handoff(THIN) + " SELECT src, dst, src % 7 <> dst % 7 AS cross FROM edges")
+@query(_HANDOFF + " SELECT src, dst, src % 7 <> dst % 7 AS cross FROM edges")
 def cross_community_edges(spark, sf_dir):
     t = handoff(spark, sf_dir)
     return lookups.cross_community(t.edges, _by_remainder(t)).select("src", "dst", "cross")
@@ -225,68 +314,85 @@ def has_any_orphan(spark, sf_dir):
 _ORPHANS = ", ok AS (SELECT a AS idx FROM reach WHERE a = b UNION SELECT r.b FROM reach r JOIN reach c ON c.a = c.b AND c.a = r.a)"
 
 
-@query(_handoff(150) + _ORPHANS + " SELECT idx FROM nodes WHERE idx NOT IN (SELECT idx FROM ok)")
+@query(_CONTACT + _ORPHANS + " SELECT idx FROM nodes WHERE idx NOT IN (SELECT idx FROM ok)")
 def orphans(spark, sf_dir):
-    t = tables.handoff_graph(spark, sf_dir, 150)
+    t = contact(spark, sf_dir)
     return traverse.orphans(t.nodes, t.edges).select("idx")
 
 
-@query(_handoff(150) + _ORPHANS + ", roots AS (SELECT idx FROM nodes WHERE idx IN (3, 5, 8) UNION SELECT b FROM reach WHERE a IN (3, 5, 8)) SELECT idx FROM nodes WHERE idx NOT IN (SELECT idx FROM ok) AND idx NOT IN (SELECT idx FROM roots)")
+@query(_CONTACT + _ORPHANS + ", roots AS (SELECT idx FROM nodes WHERE idx IN (3, 5, 8) UNION SELECT b FROM reach WHERE a IN (3, 5, 8)) SELECT idx FROM nodes WHERE idx NOT IN (SELECT idx FROM ok) AND idx NOT IN (SELECT idx FROM roots)")
 def orphans_with_roots(spark, sf_dir):
-    t = tables.handoff_graph(spark, sf_dir, 150)
+    t = contact(spark, sf_dir)
     return traverse.orphans(t.nodes, t.edges, filters.roots(t, GraphView(rootNodes=("user/3", "user/5", "user/8", "user/x")))).select("idx")
 
 
-@query(_handoff(60).replace("GROUP BY src, dst)", "GROUP BY src, dst HAVING first(event_type ORDER BY ts, event_id) = 'click')") + _ORPHANS + " SELECT idx FROM nodes WHERE idx NOT IN (SELECT idx FROM ok)")
+@query(_CONTACT.replace("FROM ends GROUP BY src, dst)", "FROM ends GROUP BY src, dst HAVING first(event_type ORDER BY ts, event_id) <> 'error')") + _ORPHANS + " SELECT idx FROM nodes WHERE idx NOT IN (SELECT idx FROM ok)")
 def orphans_edge_filtered(spark, sf_dir):
-    t = tables.handoff_graph(spark, sf_dir, 60)
-    hidden = frozenset(r["type_id"] for r in t.edge_types.filter("name not in ('', 'click')").collect())  # a dictionary: a few rows
+    t = contact(spark, sf_dir)
+    hidden = frozenset(r["type_id"] for r in t.edge_types.filter("name = 'error'").collect())  # a dictionary: a few rows
     return traverse.orphans(t.nodes, filters.edge_type_filter(t.edges, hidden)).select("idx")
 
 
-@query(_handoff(150) + _ORPHANS + " SELECT idx, 'User ' || idx AS label FROM nodes WHERE idx NOT IN (SELECT idx FROM ok) AND 'User ' || idx NOT LIKE 'User 1%'")
+@query(_CONTACT + _ORPHANS + " SELECT idx, 'User ' || idx AS label FROM nodes WHERE idx NOT IN (SELECT idx FROM ok) AND 'User ' || idx NOT LIKE 'User 1%'")
 def orphans_minus_hidden(spark, sf_dir):
-    t = tables.handoff_graph(spark, sf_dir, 150)
+    t = contact(spark, sf_dir)
     hidden = filters.effective_hidden(t, GraphView(excludeGlobs=("User 1*",)))
     found = traverse.orphans(t.nodes, t.edges).join(hidden, [G, "idx"], "left_anti")
     return found.join(t.nodes, [G, "idx"]).select("idx", "label").orderBy(*lookups.by_label())
 
 
-@query(_handoff(THIN) + " SELECT EXISTS (SELECT 1 FROM reach WHERE a = b) AS has_cycle")
+@query(_HANDOFF + " SELECT EXISTS (SELECT 1 FROM reach WHERE a = b) AS has_cycle")
 def has_any_cycle(spark, sf_dir):
     t = handoff(spark, sf_dir)
     return traverse.has_any_cycle(t.nodes, t.edges).drop(G)
 
 
-@query(_handoff(150) + ", mutual AS (SELECT x.a, max(x.b) AS scc FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a) SELECT a AS idx, scc FROM mutual")
+@query(_CONTACT + ", mutual AS (SELECT x.a, max(x.b) AS scc FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a) SELECT a AS idx, scc FROM mutual")
 def scc(spark, sf_dir):
-    return traverse.components(tables.handoff_graph(spark, sf_dir, 150).edges).drop(G)
+    return traverse.components(contact(spark, sf_dir).edges).drop(G)
 
 
-@query(_handoff(THIN) + " SELECT a AS idx FROM reach WHERE a = b")
+@query(_CONTACT + _OWNERS + ", again(a, b) AS (SELECT src, dst FROM cedges UNION SELECT a, dst FROM again JOIN cedges ON b = src) SELECT a AS idx FROM again WHERE a = b")
 def cycles_only_nodes(spark, sf_dir):
-    return traverse.components(handoff(spark, sf_dir).edges).select("idx")
+    t = contact(spark, sf_dir)
+    view = replace(FOLD_CLIENTS, cyclesOnly=True)
+    con = settle(contract.contraction(t, view, _radii(t)))
+    return filters.cycles_only(t, view, con).select("idx")
+
+
+@query(_CONTACT + _OWNERS + " SELECT idx, hidden, rep FROM remap")
+def client_owners(spark, sf_dir):
+    t = contact(spark, sf_dir)
+    return contract.contraction(t, FOLD_CLIENTS, _radii(t)).select("idx", "hidden", "rep")
 
 
-@query(_handoff(150) + ", walk(a, b, d) AS (SELECT src, dst, 1 FROM edges UNION SELECT a, dst, d + 1 FROM walk JOIN edges ON b = src WHERE d < 30 AND a <> b) SELECT a AS idx, min(d)::INT AS length FROM walk WHERE a = b GROUP BY a")
+@query(_CONTACT + _CYCLES + " SELECT a AS idx, d::INT AS length FROM len")
 def shortest_cycle_length(spark, sf_dir):
-    return traverse.shortest_cycle_lengths(tables.handoff_graph(spark, sf_dir, 150).edges).drop(G)
+    return traverse.shortest_cycle_lengths(contact(spark, sf_dir).edges).drop(G)
 
 
 def _cycles(spark, sf_dir) -> tuple[GraphTables, DataFrame]:
-    t = tables.handoff_graph(spark, sf_dir, 150)
+    t = contact(spark, sf_dir)
     return t, settle(traverse.shortest_cycles(t.edges))
 
 
-@query()
+@query(_CONTACT + _CYCLES + " SELECT start, cycle FROM cycles")
 def shortest_cycles(spark, sf_dir):
     return _cycles(spark, sf_dir)[1].select("start", "cycle")
 
 
-@query()
+@query(_CONTACT + """, any_cycle AS (SELECT EXISTS (SELECT 1 FROM reach WHERE a = b) AS yes) SELECT view, CASE WHEN NOT yes OR view = 'no edges' THEN 'graph' WHEN view = 'plain' THEN 'none' ELSE 'scoped' END AS reason FROM any_cycle, (VALUES ('plain'), ('no users'), ('no edges')) v(view)""")
 def empty_reason(spark, sf_dir):
+    """Why the list of cycles of three views is (not) empty."""
     t, cycles = _cycles(spark, sf_dir)
-    return traverse.empty_reason(t.nodes, t.edges, cycles.limit(0)).drop(G)
+    out = None
+    every = frozenset(r["type_id"] for r in t.edge_types.collect())  # a dictionary: a few rows
+    for name, view in (("plain", GraphView()), ("no users", GraphView(excludeGlobs=("User *",))), ("no edges", GraphView(hiddenEdgeTypes=every))):
+        edges = filters.edge_type_filter(t.edges, view.hiddenEdgeTypes)
+        listed = bundle.bundle_raw(cycles if not view.hiddenEdgeTypes else settle(traverse.shortest_cycles(edges)), contract.contraction(t, view, _radii(t)))
+        one = traverse.empty_reason(t.nodes, edges, listed).select(F.lit(name).alias("view"), "reason")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # -- contraction
@@ -327,18 +433,18 @@ def collapse_toggle(spark, sf_dir):
     return contract.visibility(purchase(spark, sf_dir), GraphView(hiddenNodeTypes=FOLD.hiddenNodeTypes, collapsed=("nation/3",))).select("idx", "hidden")
 
 
-# -- bundles of cycles, on the hand-off graph with users folded by a few ids
+# -- bundles of cycles, on the contact graph with clients folded into agents
 
 _HIDE = GraphView(hiddenNodes=tuple(f"user/{i}" for i in range(0, 40, 5)))
 
 
 def _bundles(spark, sf_dir):
     t, cycles = _cycles(spark, sf_dir)
-    con = settle(contract.contraction(t, _HIDE, _radii(t)))
+    con = settle(contract.contraction(t, FOLD_CLIENTS, _radii(t)))
     return t, cycles, con, settle(bundle.named(bundle.bundle_raw(cycles, con)))
 
 
-@query()
+@query(_CONTACT + _BUNDLES + " SELECT cycle_id, cycle, groups FROM named")
 def bundled_cycles(spark, sf_dir):
     return _bundles(spark, sf_dir)[3].select("cycle_id", "cycle", "groups")
 
@@ -350,33 +456,34 @@ def contracted_bundles(spark, sf_dir):
     return bundle.named(bundle.bundle_contracted(traverse.shortest_cycles(inner), t.edges, con)).select("cycle_id", "cycle", "groups")
 
 
-@query()
+@query(_CONTACT + _BUNDLES + " SELECT cycle_id, key FROM named")
 def cycle_ids(spark, sf_dir):
     return _bundles(spark, sf_dir)[3].select("cycle_id", "key")
 
 
-@query()
+@query(_CONTACT + _BUNDLES + " SELECT cycle_id, cycle FROM named WHERE list_contains(cycle, 25)")
 def cycles_through_node(spark, sf_dir):
-    return bundle.through_node(_bundles(spark, sf_dir)[3], 8).select("cycle_id", "cycle")
+    return bundle.through_node(_bundles(spark, sf_dir)[3], 25).select("cycle_id", "cycle")
 
 
-@query()
+@query(_CONTACT + _CYCLES + _OWNERS + ", inside AS (SELECT start FROM (SELECT start, unnest(cycle) AS idx FROM cycles) JOIN remap USING (idx) GROUP BY start HAVING bool_and(coalesce(rep = 0, false))) SELECT start, cycle FROM cycles SEMI JOIN inside USING (start)")
 def internal_cycles(spark, sf_dir):
-    _, cycles, con, _ = _bundles(spark, sf_dir)
-    return bundle.internal_cycles(cycles, con, 8).select("start", "cycle")
+    t, cycles = _cycles(spark, sf_dir)
+    return bundle.internal_cycles(cycles, settle(contract.contraction(t, FOLD_CLIENTS, _radii(t))), 0).select("start", "cycle")
 
 
-@query()
+@query(_CONTACT + _BUNDLES + """, cut AS (SELECT *, CASE WHEN lag(other) OVER (PARTITION BY cycle_id ORDER BY pos) = other THEN 0 ELSE 1 END AS turn FROM mem JOIN tiny USING (idx)), seg AS (SELECT *, sum(turn) OVER (PARTITION BY cycle_id ORDER BY pos) AS segment FROM cut)
+ SELECT cycle_id, segment::BIGINT AS segment, other, other || '-' || (segment - 1)::BIGINT AS key, min(pos)::INT AS first, max(pos)::INT AS last FROM seg GROUP BY cycle_id, segment, other""")
 def cycle_segments(spark, sf_dir):
     return bundle.segments(_bundles(spark, sf_dir)[3]).drop(G)
 
 
-@query()
+@query(_CONTACT + _BUNDLES + ", votes AS (SELECT other AS cycle_id, count(DISTINCT cycle_id) AS votes FROM mem JOIN tiny USING (idx) WHERE other <> cycle_id GROUP BY other) SELECT cycle_id, votes FROM votes JOIN named USING (cycle_id) ORDER BY votes DESC, seq LIMIT 3")
 def top_referenced_cycles(spark, sf_dir):
     return bundle.top_referenced(_bundles(spark, sf_dir)[3]).drop(G)
 
 
-@query()
+@query(_CONTACT + _BUNDLES + " SELECT cycle_id, list_transform(cycle, lambda i: 'user/' || i) AS ids, list_transform(range(1, len(cycle) + 1), lambda k: list_transform(list_filter(groups[k], lambda g: g <> cycle[k]), lambda g: 'user/' || g)) AS files, CASE n WHEN 0 THEN '' WHEN 1 THEN '1 cycle' ELSE n || ' cycles' END AS label FROM named JOIN refs USING (cycle_id)")
 def cycle_entries(spark, sf_dir):
     t, _, _, named = _bundles(spark, sf_dir)
     return bundle.entries(named, t.nodes).select("cycle_id", "ids", "files", "label")
@@ -417,10 +524,10 @@ def louvain(spark, sf_dir):
 @query()
 def distributed_louvain(spark, sf_dir):
     t = handoff(spark, sf_dir)
-    return community.distributed_louvain(t.nodes, t.edges, rounds=4).drop(G)
+    return community.distributed_louvain(t.nodes, t.edges).drop(G)
 
 
-@query(_handoff(THIN) + """, simple AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges), m AS (SELECT count(*) AS m FROM simple),
+@query(_HANDOFF + """, simple AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges), m AS (SELECT count(*) AS m FROM simple),
  l AS (SELECT a % 7 AS c, count(*) AS l FROM simple WHERE a % 7 = b % 7 GROUP BY 1), d AS (SELECT c, count(*) AS d FROM (SELECT a % 7 AS c FROM simple UNION ALL SELECT b % 7 FROM simple) GROUP BY 1)
  SELECT round(sum(coalesce(l, 0) / m - (d / (2.0 * m)) ** 2), 8)::DOUBLE AS modularity FROM d LEFT JOIN l USING (c), m""")
 def modularity(spark, sf_dir):
@@ -453,38 +560,38 @@ _SEED = f""", deg AS (SELECT idx, (SELECT count(*) FROM edges WHERE dst = idx) A
    FROM (SELECT m.idx, m.c, n, r, ang, greatest(sqrt(tot) * 18, reach * 0.8) * sqrt(acc / tot + 0.02) AS far, row_number() OVER (PARTITION BY m.c ORDER BY m.idx) - 1 AS k FROM mem m JOIN cen USING (c)))"""
 
 
-@query(_handoff(THIN) + _SEED + " SELECT idx, round(x, 4)::DOUBLE AS x, round(y, 4)::DOUBLE AS y FROM pos")
+@query(_HANDOFF + _SEED + " SELECT idx, round(x, 4)::DOUBLE AS x, round(y, 4)::DOUBLE AS y FROM pos")
 def layout_seed(spark, sf_dir):
     return layout.seed(_members(handoff(spark, sf_dir))).select("idx", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-@query(_handoff(THIN) + _SEED + " SELECT idx, round(x + 0.5 * (avg(x) OVER (PARTITION BY c) - avg(x) OVER ()), 4)::DOUBLE AS x, round(y + 0.5 * (avg(y) OVER (PARTITION BY c) - avg(y) OVER ()), 4)::DOUBLE AS y FROM pos")
+@query(_HANDOFF + _SEED + " SELECT idx, round(x + 0.5 * (avg(x) OVER (PARTITION BY c) - avg(x) OVER ()), 4)::DOUBLE AS x, round(y + 0.5 * (avg(y) OVER (PARTITION BY c) - avg(y) OVER ()), 4)::DOUBLE AS y FROM pos")
 def cluster_spread(spark, sf_dir):
     t = handoff(spark, sf_dir)
     moved = layout.spread(layout.seed(_members(t)), _by_remainder(t), 1.5)
     return moved.select("idx", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-@query(_handoff(THIN) + _SEED + " SELECT round(min(x), 4)::DOUBLE AS min_x, round(min(y), 4)::DOUBLE AS min_y, round(max(x), 4)::DOUBLE AS max_x, round(max(y), 4)::DOUBLE AS max_y FROM pos")
+@query(_HANDOFF + _SEED + " SELECT round(min(x), 4)::DOUBLE AS min_x, round(min(y), 4)::DOUBLE AS min_y, round(max(x), 4)::DOUBLE AS max_x, round(max(y), 4)::DOUBLE AS max_y FROM pos")
 def scene_bounds(spark, sf_dir):
     b = geometry.scene_bounds(layout.seed(_members(handoff(spark, sf_dir))))
     return b.select(*[F.round(c, 4).alias(c) for c in ("min_x", "min_y", "max_x", "max_y")])
 
 
-@query(_handoff(THIN) + _SEED + """, cen2 AS (SELECT c, avg(x) AS cx, avg(y) AS cy FROM pos GROUP BY c), sp AS (SELECT c, greatest(avg(sqrt((x - cx) ** 2 + (y - cy) ** 2)), 1) AS s FROM pos JOIN cen2 USING (c) GROUP BY c),
+@query(_HANDOFF + _SEED + """, cen2 AS (SELECT c, avg(x) AS cx, avg(y) AS cy FROM pos GROUP BY c), sp AS (SELECT c, greatest(avg(sqrt((x - cx) ** 2 + (y - cy) ** 2)), 1) AS s FROM pos JOIN cen2 USING (c) GROUP BY c),
  near AS (SELECT a.c, min(sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2)) AS d FROM cen2 a JOIN cen2 b ON a.c <> b.c GROUP BY a.c) SELECT round(avg(d / s), 5)::DOUBLE AS separation FROM near JOIN sp USING (c)""")
 def cluster_separation(spark, sf_dir):
     t = handoff(spark, sf_dir)
     return geometry.separation(layout.seed(_members(t)), _by_remainder(t)).select(F.round("separation", 5).alias("separation"))
 
 
-@query(_handoff(THIN) + _SEED + " SELECT round(median(sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2)), 4)::DOUBLE AS length FROM edges JOIN pos a ON a.idx = src JOIN pos b ON b.idx = dst")
+@query(_HANDOFF + _SEED + " SELECT round(median(sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2)), 4)::DOUBLE AS length FROM edges JOIN pos a ON a.idx = src JOIN pos b ON b.idx = dst")
 def median_edge_length(spark, sf_dir):
     t = handoff(spark, sf_dir)
     return geometry.median_edge_length(t.edges, layout.seed(_members(t))).select(F.round("length", 4).alias("length"))
 
 
-@query(_handoff(THIN) + _SEED + """, z AS (SELECT min(800 / (greatest(1e-6, x) * 1.08), 600 / (greatest(1e-6, y) * 1.08)) AS fit FROM (SELECT max(x) - min(x) AS x, max(y) - min(y) AS y FROM pos))
+@query(_HANDOFF + _SEED + """, z AS (SELECT min(800 / (greatest(1e-6, x) * 1.08), 600 / (greatest(1e-6, y) * 1.08)) AS fit FROM (SELECT max(x) - min(x) AS x, max(y) - min(y) AS y FROM pos))
  SELECT round(greatest(0.5, 4 * fit), 6)::DOUBLE AS to_zoom FROM (SELECT least(800 / (greatest(1e-6, x) * 1.08), 600 / (greatest(1e-6, y) * 1.08)) AS fit FROM (SELECT max(x) - min(x) AS x, max(y) - min(y) AS y FROM pos))""".replace(""", z AS (SELECT min(800 / (greatest(1e-6, x) * 1.08), 600 / (greatest(1e-6, y) * 1.08)) AS fit FROM (SELECT max(x) - min(x) AS x, max(y) - min(y) AS y FROM pos))""", ""))
 def focus_plan(spark, sf_dir):
     b = geometry.scene_bounds(layout.seed(_members(handoff(spark, sf_dir))))
@@ -497,28 +604,28 @@ def _drawn(spark, sf_dir):
     return t, settle(layout.seed(_members(t))), _by_remainder(t), settle(sizes)
 
 
-@query(_handoff(THIN) + _SEED + " SELECT idx, round(x, 4)::DOUBLE AS x, CASE WHEN idx IN (0, 5, 10, 15, 20, 25, 30, 35) THEN 0 ELSE round(radius, 4) END::DOUBLE AS r, (CASE WHEN idx IN (0, 5, 10, 15, 20, 25, 30, 35) THEN 0 ELSE 1 END)::INT AS a, (CASE WHEN idx IN (SELECT a FROM reach WHERE a = b) THEN 4 ELSE 0 END + CASE WHEN idx <> 8 AND idx NOT IN (SELECT src FROM edges WHERE dst = 8 UNION SELECT dst FROM edges WHERE src = 8) THEN 8 ELSE 0 END)::INT AS flags FROM pos JOIN mem USING (idx)")
+@query(_HANDOFF + _SEED + " SELECT idx, round(x, 4)::DOUBLE AS x, CASE WHEN idx IN (0, 5, 10, 15, 20, 25, 30, 35) THEN 0 ELSE round(radius, 4) END::DOUBLE AS r, (CASE WHEN idx IN (0, 5, 10, 15, 20, 25, 30, 35) THEN 0 ELSE 1 END)::INT AS a, (CASE WHEN idx IN (SELECT a FROM reach WHERE a = b) THEN 4 ELSE 0 END + CASE WHEN idx <> 8 AND idx NOT IN (SELECT src FROM edges WHERE dst = 8 UNION SELECT dst FROM edges WHERE src = 8) THEN 8 ELSE 0 END)::INT AS flags FROM pos JOIN mem USING (idx)")
 def node_instances(spark, sf_dir):
     t, positions, members, sizes = _drawn(spark, sf_dir)
     rows = geometry.node_instances(positions, sizes, members, traverse.components(t.edges), geometry.dimmed(t.nodes, t.edges, 8))
     return rows.select("idx", F.round("x", 4).alias("x"), F.round("r", 4).alias("r"), "a", "flags")
 
 
-@query(_handoff(THIN) + _SEED + " SELECT src, dst, round(a.x, 4)::DOUBLE AS x0, round(b.y, 4)::DOUBLE AS y1, (CASE WHEN a.c <> b.c THEN 56 ELSE 31 END)::BIGINT AS alpha FROM edges JOIN pos a ON a.idx = src JOIN pos b ON b.idx = dst")
+@query(_HANDOFF + _SEED + " SELECT src, dst, round(a.x, 4)::DOUBLE AS x0, round(b.y, 4)::DOUBLE AS y1, (CASE WHEN a.c <> b.c THEN 56 ELSE 31 END)::BIGINT AS alpha FROM edges JOIN pos a ON a.idx = src JOIN pos b ON b.idx = dst")
 def edge_vertices(spark, sf_dir):
     t, positions, members, _ = _drawn(spark, sf_dir)
     rows = geometry.edge_vertices(t.edges, positions, members)
     return rows.select("src", "dst", F.round("x0", 4).alias("x0"), F.round("y1", 4).alias("y1"), F.shiftright("colour0", 24).alias("alpha"))
 
 
-@query(_handoff(THIN) + _SEED + " SELECT src, dst, round(a.x, 4)::DOUBLE AS x0, (CASE WHEN a.c <> b.c THEN 179 ELSE 140 END)::BIGINT AS alpha FROM edges JOIN pos a ON a.idx = src JOIN pos b ON b.idx = dst")
+@query(_HANDOFF + _SEED + " SELECT src, dst, round(a.x, 4)::DOUBLE AS x0, (CASE WHEN a.c <> b.c THEN 179 ELSE 140 END)::BIGINT AS alpha FROM edges JOIN pos a ON a.idx = src JOIN pos b ON b.idx = dst")
 def arrows(spark, sf_dir):
     t, positions, members, sizes = _drawn(spark, sf_dir)
     rows = geometry.arrows(t.edges, positions, members, sizes)
     return rows.select("src", "dst", F.round("x0", 4).alias("x0"), F.shiftright("colour", 24).alias("alpha"))
 
 
-@query()
+@query(_CONTACT + _CYCLES + " SELECT DISTINCT x.path[1] AS src, x.path[2] AS dst FROM (SELECT unnest(list_transform(range(1, len(cycle) + 1), lambda i: [cycle[i], cycle[CASE WHEN i = len(cycle) THEN 1 ELSE i + 1 END]])) AS path FROM cycles) x")
 def cycle_highlight(spark, sf_dir):
     return geometry.cycle_edges(_cycles(spark, sf_dir)[1]).select("src", "dst")
 
@@ -538,7 +645,7 @@ def hulls(spark, sf_dir):
 
 @query()
 def force_layout(spark, sf_dir):
-    t = tables.handoff_graph(spark, sf_dir, 150)
+    t = contact(spark, sf_dir)
     return layout.layout(_members(t), t.edges).drop(G)
 
 

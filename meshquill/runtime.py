@@ -31,10 +31,13 @@ def ship(spark: SparkSession) -> None:
 
 def settle(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in spark.checkpoint.dir
-    (a local default only where that is unset)."""
+    (a local default only in local mode, where that is unset)."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="meshquill-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="meshquill-"))
     return df.checkpoint()
 
 

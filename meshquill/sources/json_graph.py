@@ -5,10 +5,13 @@ Edges may mix strings, numbers and objects, so documents are parsed as VARIANT.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import GraphTables, SchemaError
+from . import generators
 from .normalise import normalise
 
 _NUMBER = "^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
@@ -102,14 +105,15 @@ def load_graph(spark: SparkSession, path: str) -> GraphTables:
     return load_graphs(read_documents(spark, path))
 
 
-#: Named datasets: name to path.
-DATASETS: dict[str, str] = {}
+#: Named datasets: name to the path of a document, or to a function of the session.
+DATASETS: dict[str, str | Callable[[SparkSession], GraphTables]] = {"packages": generators.monorepo, "clusters": generators.clustered, "hub": generators.hub}
 
 
 def load_named(spark: SparkSession, name: str) -> GraphTables:
     if name not in DATASETS:
         raise SchemaError(f"no dataset is named {name}")
-    return load_graph(spark, DATASETS[name])
+    found = DATASETS[name]
+    return load_graph(spark, found) if isinstance(found, str) else found(spark)
 
 
 def persist(documents: DataFrame, path: str) -> bool:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import GraphTables
@@ -45,7 +45,7 @@ def purchase_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     for df, s, d, k, name in parts:
         part = df.select(s.alias("src"), d.alias("dst"), F.lit(k).alias("type_id"), F.lit(name).alias("type"))
         out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    return settle(out.distinct())
 
 
 def purchase_graph(spark: SparkSession, sf_dir: str) -> GraphTables:
@@ -57,26 +57,41 @@ def purchase_graph(spark: SparkSession, sf_dir: str) -> GraphTables:
     return GraphTables(purchase_nodes(spark, sf_dir), edges, names(["", *[p[0] for p in PURCHASE], "missing"]), names(["", "contain", "places", "item", "supplies"]))
 
 
-def handoff_edges(spark: SparkSession, sf_dir: str, least: float = 0.0) -> DataFrame:
-    """(src, dst, type, first): user to next user on the same day by time, of
-    events above ``least``; the first of parallel ones gives the type."""
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, event_type, at): user to next user on the same day by time, of
+    all events."""
     day = Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id")
-    events = read(spark, sf_dir, "events").filter(F.col("value") > least)
-    steps = events.select(F.col("user_id").alias("src"), F.lead("user_id").over(day).alias("dst"), "event_type", F.struct("ts", "event_id").alias("at"))
-    return steps.filter("dst is not null and src <> dst").groupBy("src", "dst").agg(F.min_by("event_type", "at").alias("type"))
+    out = read(spark, sf_dir, "events").select(F.col("user_id").alias("src"), F.lead("user_id").over(day).alias("dst"), "event_type", F.struct("ts", "event_id").alias("at"))
+    return out.filter("dst is not null and src <> dst")
 
 
-def handoff_graph(spark: SparkSession, sf_dir: str, least: float = 0.0) -> GraphTables:
-    """The hand-off graph: dense in cycles; a node's index is its user id."""
-    links = settle(handoff_edges(spark, sf_dir, least).select(F.lit("handoff").alias("graph_id"), F.struct("src", "dst").alias("eidx"), "src", "dst", "type"))
-    types = interned(links.select("graph_id", F.col("type").alias("name"), F.col("type").alias("at")), "edge")
+def _users(spark: SparkSession, sf_dir: str, name: str, links: DataFrame, kinds: list[str], kind: Column) -> GraphTables:
+    """A graph of users; a node's index is its user id, its type one of kinds."""
+    links = settle(links.groupBy("src", "dst").agg(F.min_by("event_type", "at").alias("type")).select(F.lit(name).alias("graph_id"), F.struct("src", "dst").alias("eidx"), "src", "dst", "type"))
+    types = settle(interned(links.select("graph_id", F.col("type").alias("name"), F.col("type").alias("at")), "edge"))
     edges = links.join(F.broadcast(types.withColumnRenamed("name", "type")), ["graph_id", "type"]).select("graph_id", "eidx", "src", "dst", "type_id", "type")
-    users = read(spark, sf_dir, "events").select(F.col("user_id").alias("idx")).distinct()
-    nodes = users.select(F.lit("handoff").alias("graph_id"), "idx", F.concat(F.lit("user/"), F.col("idx").cast("string")).alias("id"), F.concat(F.lit("User "), F.col("idx").cast("string")).alias("label"), F.lit(1).alias("type_id"), F.lit("user").alias("type"), F.lit(None).cast("variant").alias("meta"), F.lit(True).alias("declared"))
-    node_types = spark.createDataFrame([("handoff", 0, ""), ("handoff", 1, "user"), ("handoff", 2, "missing")], "graph_id string, type_id int, name string")
+    users = read(spark, sf_dir, "events").select(F.col("user_id").alias("idx")).distinct().withColumn("type_id", kind)
+    names = ["", *kinds, "missing"]
+    nodes = users.select(F.lit(name).alias("graph_id"), "idx", F.concat(F.lit("user/"), F.col("idx").cast("string")).alias("id"), F.concat(F.lit("User "), F.col("idx").cast("string")).alias("label"), "type_id", F.get(F.array(*map(F.lit, names)), F.col("type_id")).alias("type"), F.lit(None).cast("variant").alias("meta"), F.lit(True).alias("declared"))
+    node_types = spark.createDataFrame([(name, i, n) for i, n in enumerate(names)], "graph_id string, type_id int, name string")
     return GraphTables(nodes, edges, node_types, types)
 
 
+def handoff_graph(spark: SparkSession, sf_dir: str) -> GraphTables:
+    """All hand-offs of a user to the next one of the day: dense in cycles; the
+    first of parallel ones gives the type."""
+    return _users(spark, sf_dir, "handoff", steps(spark, sf_dir), ["user"], F.lit(1))
+
+
+def contact_graph(spark: SparkSession, sf_dir: str) -> GraphTables:
+    """Each user's first and last hand-off over all events: sparse, with long
+    cycles and with users that no cycle reaches. Every 25th user is an agent,
+    the others are clients."""
+    ends = steps(spark, sf_dir).groupBy("src").agg(F.min(F.struct("at", "dst", "event_type")).alias("a"), F.max(F.struct("at", "dst", "event_type")).alias("z"))
+    links = ends.select("src", F.explode(F.array("a", "z")).alias("x")).select("src", "x.dst", "x.event_type", "x.at")
+    return _users(spark, sf_dir, "contact", links, ["agent", "client"], F.when(F.col("idx") % 25 == 0, 1).otherwise(2))
+
+
 def link_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(raw_nodes, raw_links) of the pages and their href targets."""
     pages = read(spark, sf_dir, "pages")
