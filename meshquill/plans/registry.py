@@ -524,7 +524,7 @@ def louvain(spark, sf_dir):
 @query()
 def distributed_louvain(spark, sf_dir):
     t = handoff(spark, sf_dir)
-    return community.distributed_louvain(t.nodes, t.edges, max_rounds=6).drop(G)
+    return community.distributed_louvain(t.nodes, t.edges, max_rounds=4, levels=1).drop(G)
 
 
 @query(_HANDOFF + """, simple AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges), m AS (SELECT count(*) AS m FROM simple),
