@@ -131,11 +131,12 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # terms are only sought in documents with a span, so most rows cost a few scans
     found = own.withColumn("base", base_spans(F.col("text"))).withColumn("held", F.sort_array(F.concat("base", secret_spans(F.col("text")))))
-    terms = F.when(F.size("held") > 0, _terms(F.col("text"), F.col("held")))
-    found = stored(found.select("doc_id", F.xxhash64("text").alias("text_key"), "base", "held", terms.alias("terms")), "pii")
+    # and only their texts are kept for the places
+    terms, kept = (F.when(F.size("held") > 0, c) for c in (_terms(F.col("text"), F.col("held")), F.col("text")))
+    found = stored(found.select("doc_id", F.xxhash64("text").alias("text_key"), "base", "held", terms.alias("terms"), kept.alias("text")), "pii")
     n = found.count()
-    holds = found.filter("size(terms) > 0").withColumn("values", F.array_distinct(F.transform("held", _value)))
-    both = holds.select("doc_id", "text_key", "held", "values", F.explode("terms").alias("term")).select("doc_id", "text_key", "held", "term", F.explode("values").alias("value"))
+    holds = found.filter("size(terms) > 0").select("doc_id", "text_key", "terms", F.array_distinct(F.transform("held", _value)).alias("values"))
+    both = holds.select("doc_id", "text_key", "values", F.explode("terms").alias("term")).select("doc_id", "text_key", "term", F.explode("values").alias("value"))
     pairs = both.groupBy("term", "value").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_support)
     pairs = stored(pairs, "pairs")
     wanted = stored(pairs.select("term").distinct(), "wanted")
@@ -149,11 +150,10 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ic = F.log2(F.lit(float(n)) / F.col("n_value"))
     share = F.when(ic > 0, pmi / ic).otherwise(0.0)
     told = stored(shared.withColumn("share", share).filter(F.col("share") >= generalise).select("term", "value", "share"), "told")
-    told_in = both.join(told, ["term", "value"]).groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(F.first("held").alias("_b"), F.collect_set("term").alias("told"), F.collect_set(F.when(F.col("share") >= remove, F.col("term"))).alias("removed"))
-    texts = own.select("doc_id", "text", F.xxhash64("text").alias("text_key")).join(told_in, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k"))).dropDuplicates(["_d", "_k"])
-    extra = texts.select("_d", "_k", _places(F.col("text"), F.col("_b"), F.col("told")).alias("extra"), "removed")
-    out = found.join(extra, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")), "left")
-    return out.select("doc_id", "text_key", "base", F.sort_array(F.concat("held", F.coalesce("extra", F.array().cast(SPAN)))).alias("spans"), F.coalesce("removed", F.array().cast("array<string>")).alias("removed"))
+    told_in = both.join(told, ["term", "value"]).groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(F.collect_set("term").alias("told"), F.collect_set(F.when(F.col("share") >= remove, F.col("term"))).alias("removed"))
+    out = found.join(told_in, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")), "left")
+    extra = F.when(F.col("told").isNotNull(), _places(F.col("text"), F.col("held"), F.col("told")))
+    return out.select("doc_id", "text_key", "base", F.sort_array(F.concat("held", F.coalesce(extra, F.array().cast(SPAN)))).alias("spans"), F.coalesce("removed", F.array().cast("array<string>")).alias("removed"))
 
 
 def count_kind(spans: Column, kind: str) -> Column:
