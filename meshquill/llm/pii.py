@@ -135,7 +135,12 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     terms, kept = (F.when(F.size("held") > 0, c) for c in (_terms(F.col("text"), F.col("held")), F.col("text")))
     found = stored(found.select("doc_id", F.xxhash64("text").alias("text_key"), "base", "held", terms.alias("terms"), kept.alias("text")), "pii")
     n = found.count()
-    holds = found.filter("size(terms) > 0").select("doc_id", "text_key", "terms", F.array_distinct(F.transform("held", _value)).alias("values"))
+    # no pair has more documents than its value, so values short of support make none
+    held_in = found.filter("size(held) > 0").select("doc_id", "text_key", F.explode(F.array_distinct(F.transform("held", _value))).alias("value"))
+    by_value = stored(held_in.groupBy("value").agg(F.count("*").alias("n_value")).filter(F.col("n_value") >= min_support), "values")
+    values = held_in.join(by_value, "value", "left_semi").groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(F.collect_set("value").alias("values"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k"))
+    holds = stored(found.filter("size(terms) > 0").join(values, same).select("doc_id", "text_key", "held", "terms", "values", "text"), "holds")
     both = holds.select("doc_id", "text_key", "values", F.explode("terms").alias("term")).select("doc_id", "text_key", "term", F.explode("values").alias("value"))
     pairs = both.groupBy("term", "value").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_support)
     pairs = stored(pairs, "pairs")
@@ -144,16 +149,15 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if (wanted.agg(F.sum(F.octet_length("term") + 32).alias("n")).first()["n"] or 0) <= MAX_BROADCAST:
         words = words.join(F.broadcast(wanted), "term", "left_semi")
     by_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    by_value = found.filter("size(held) > 0").select(F.explode(F.array_distinct(F.transform("held", _value))).alias("value")).groupBy("value").agg(F.count("*").alias("n_value"))
     shared = pairs.join(by_term, "term").join(by_value, "value")
     pmi = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_term") * F.col("n_value")))
     ic = F.log2(F.lit(float(n)) / F.col("n_value"))
     share = F.when(ic > 0, pmi / ic).otherwise(0.0)
     told = stored(shared.withColumn("share", share).filter(F.col("share") >= generalise).select("term", "value", "share"), "told")
     told_in = both.join(told, ["term", "value"]).groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(F.collect_set("term").alias("told"), F.collect_set(F.when(F.col("share") >= remove, F.col("term"))).alias("removed"))
-    out = found.join(told_in, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")), "left")
-    extra = F.when(F.col("told").isNotNull(), _places(F.col("text"), F.col("held"), F.col("told")))
-    return out.select("doc_id", "text_key", "base", F.sort_array(F.concat("held", F.coalesce(extra, F.array().cast(SPAN)))).alias("spans"), F.coalesce("removed", F.array().cast("array<string>")).alias("removed"))
+    marked = holds.join(told_in, same).select("_d", "_k", _places(F.col("text"), F.col("held"), F.col("told")).alias("extra"), "removed").dropDuplicates(["_d", "_k"])
+    out = found.select("doc_id", "text_key", "base", "held").join(marked, same, "left")
+    return out.select("doc_id", "text_key", "base", F.sort_array(F.concat("held", F.coalesce("extra", F.array().cast(SPAN)))).alias("spans"), F.coalesce("removed", F.array().cast("array<string>")).alias("removed"))
 
 
 def count_kind(spans: Column, kind: str) -> Column:
