@@ -1,7 +1,9 @@
 """Operators against plain forms, on a table with all odd cases at once:
 nulls, empty and long texts, ties, repeated rows, clashing columns."""
 
+import math
 import random
+import re
 import sys
 import zlib
 from pathlib import Path
@@ -181,6 +183,37 @@ def test_pii(spark, docs, none):
     assert texts[0] == "write to  at <EMAIL> now please" and texts[5] == rows[5][1]
 
 
+def test_pii_terms_by_counting(spark):
+    """Terms against plain counts, with null ids, repeated rows and values of one document."""
+    deal = random.Random(5)
+    words = [f"{a}{b}{c}" for a in "bdk" for b in ("ora", "ume", "ilo") for c in ("n", "st", "ple")]
+    texts = []
+    for i in range(60):
+        v = deal.choice([f"me{deal.randrange(6)}@x.org", f"one{i}@y.net", ""])
+        own = [f"trait{v[2]}"] if v.startswith("me") and deal.random() < 0.8 else []
+        texts.append(" ".join([*deal.sample(words, 6), *own, v, deal.choice(words), f"rare{i}"]))
+    rows = [(None if i % 9 == 0 else i, t) for i, t in enumerate(texts)]
+    rows += rows[:7] * 2
+    emails = [set(re.findall(r"\S+@\S+", t)) for _, t in rows]
+    whole = [set(re.split("[^a-z0-9]+", t)) for _, t in rows]
+    terms = [{w for w in t.split() if "@" not in w} for _, t in rows]
+    told = set()
+    for v in set().union(*emails):
+        for t in set().union(*(w for w, e in zip(terms, emails) if v in e)):
+            n_v, n_t = sum(v in e for e in emails), sum(t in w for w in whole)
+            n_both = sum(v in e and t in w for e, w in zip(emails, terms))
+            if n_both >= 2 and math.log2(len(rows) * n_both / (n_t * n_v)) >= 0.8 * math.log2(len(rows) / n_v):
+                told.add((t, v))
+    want = []
+    for (d, t), e in zip(rows, emails):
+        found = [(m.start(), 0, m.end()) for m in re.finditer(r"\S+@\S+", t)]
+        found += [(m.start(), 5, m.end()) for m in re.finditer("[a-z0-9@.]+", t) if any((m[0], v) in told for v in e)]
+        want.append((d, ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["s"]) for r in pii.find_spans(df).select("doc_id", pii.span_text(F.col("spans")).alias("s")).collect()]
+    assert told and sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_long_runs_do_not_break_patterns(spark):
     texts = ["1 " * 30000, "a." * 20000 + "@b" + ".c" * 20000, "x" * 100000 + "@", "+" * 1000 + "12345678901", "9" * 50000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
