@@ -22,7 +22,7 @@ MAX_TICKS, BATCH, QUIET_MOVE, QUIET_BATCHES = 500, 8, 1e-3, 2
 INTRA_STRENGTH, INTER_STRENGTH, CENTER_STRENGTH, COHESION = 0.5, 0.12, 0.005, 0.12
 COLLIDE_STRENGTH, MIN_DISTANCE2 = 0.85, 1.0
 #: Nodes whose repulsion is summed at a time.
-BLOCK = 512
+BLOCK = 16
 
 
 def seed(members: DataFrame) -> DataFrame:
@@ -110,19 +110,23 @@ def simulate(xy: np.ndarray, radius: np.ndarray, community: np.ndarray, src: np.
 
 
 def _repel(p, v, charge, alpha, jiggle):
+    x, y = np.ascontiguousarray(p[:, 0]), np.ascontiguousarray(p[:, 1])
+    pull = charge * alpha
     for lo in range(0, len(p), BLOCK):
-        d = p[None] - p[lo : lo + BLOCK, None]
-        d2 = (d**2).sum(2)
         own = np.arange(lo, min(lo + BLOCK, len(p)))
-        same = d2 == 0
-        same[own - lo, own] = False
-        for i, j in np.argwhere(same):
-            d[i, j] = jiggle(), jiggle()
-        d2[same] = (d[same] ** 2).sum(1)
-        near = d2 < MIN_DISTANCE2
-        d2 = np.where(near, np.sqrt(MIN_DISTANCE2 * np.maximum(d2, 1e-300)), d2)
+        dx, dy = x - x[own, None], y - y[own, None]
+        d2 = dx * dx
+        d2 += dy * dy
         d2[own - lo, own] = np.inf
-        v[own] += (d * (charge[None, :, None] * alpha / d2[:, :, None])).sum(1)
+        for i, j in np.argwhere(d2 == 0):
+            dx[i, j], dy[i, j] = jiggle(), jiggle()
+            d2[i, j] = dx[i, j] ** 2 + dy[i, j] ** 2
+        near = d2 < MIN_DISTANCE2
+        if near.any():
+            d2[near] = np.sqrt(MIN_DISTANCE2 * np.maximum(d2[near], 1e-300))
+        force = np.divide(pull, d2, out=d2)
+        v[own, 0] += np.einsum("ij,ij->i", dx, force)
+        v[own, 1] += np.einsum("ij,ij->i", dy, force)
 
 
 def _collide(p, v, body, jiggle):
