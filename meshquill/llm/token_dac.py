@@ -28,8 +28,8 @@ from .common import n_tasks, ship, text_bytes
 
 BLOCK_TOKENS = 1 << 18
 BLOCK_SCHEMA = "shard int, block int, first_token long, n_tokens long, doc_ids binary, id_known binary, ends binary, payload binary"
-SHARD_BYTES, BATCH_ROWS, BATCH_BYTES = 64 << 20, 4096, 4 << 20
-_CACHE_WORDS = 600_000
+SHARD_BYTES, BATCH_ROWS, BATCH_BYTES = 64 << 20, 4096, 2 << 20
+_CACHE_WORDS = 300_000
 #: How a byte-level vocabulary shows a space.
 _SPACE = "\u0120"
 # Fixed value: the pre-token pattern of byte-level vocabularies, for text without
@@ -164,8 +164,7 @@ class Encoder:
         for p, ids in zip(missing, self._whole(missing)):
             self._add("\0" + p, ids)
         rest = np.array([self._place["\0" + p] for p in odd], np.int64)
-        starts, values = np.array(self._starts, np.int64), np.array(self._ids, np.uint32)
-        lengths = np.diff(starts)
+        starts, values = np.frombuffer(self._starts, np.int64), np.frombuffer(self._ids, np.uint32)  # views: the cache stays as it is until they go
         # pieces in their order: runs of places, of which an odd piece has one
         mask = plain.to_numpy(zero_copy_only=False)
         n_runs = np.ones(len(pieces), np.int64)
@@ -173,9 +172,11 @@ class Encoder:
         owner = np.repeat(mask, n_runs)
         run = np.empty(len(owner), np.int64)
         run[owner], run[~owner] = token, rest
-        sums = np.concatenate(([0], np.cumsum(lengths[run])))
+        begin = starts[run]
+        lengths = starts[run + 1] - begin
+        sums = np.concatenate(([0], np.cumsum(lengths)))
         bounds = np.concatenate(([0], np.cumsum(n_runs)))
-        return gather(starts[run], lengths[run], values), np.diff(sums[bounds])
+        return gather(begin, lengths, values), np.diff(sums[bounds])
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
@@ -266,6 +267,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id
                 for lo in range(lo, hi, BATCH_ROWS):
                     part = b.slice(lo, min(hi, lo + BATCH_ROWS) - lo)
                     ids, counts = enc.encode(part.column(1))
+                    pa.default_memory_pool().release_unused()
                     ids = np.insert(ids, np.cumsum(counts), end_id)
                     to = np.cumsum(counts + 1)
                     for doc, a, z in zip(part.column(0).to_pylist(), (to - counts - 1).tolist(), to.tolist()):

@@ -9,3 +9,15 @@ def test_encoder_takes_small_batches():
     texts = pa.array(["word " * 400] * 10_000)
     parts = list(row_slices(buffers(texts)[1], token_dac.BATCH_BYTES))
     assert sum(hi - lo for lo, hi in parts) == 10_000 and max(hi - lo for lo, hi in parts) * 2000 <= 4 << 20
+
+
+def test_encoder_keeps_few_words():
+    """A worker forgets words beyond 300,000, and its ids stay the library's."""
+    import public_tokenizers
+
+    enc = token_dac.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for k in range(20):
+        text = " ".join(chr(97 + k) + "".join(chr(97 + int(c, 16)) for c in f"{i:x}") for i in range(20_000))
+        ids, counts = enc.encode(pa.array([text]))
+        assert ids.tolist() == enc.tok.encode(text, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+        assert len(enc._place) <= 330_000
