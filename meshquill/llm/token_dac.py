@@ -28,7 +28,7 @@ from .common import n_tasks, ship, text_bytes
 
 BLOCK_TOKENS = 1 << 18
 BLOCK_SCHEMA = "shard int, block int, first_token long, n_tokens long, doc_ids binary, id_known binary, ends binary, payload binary"
-SHARD_BYTES, BATCH_ROWS, BATCH_BYTES = 64 << 20, 4096, 2 << 20
+SHARD_BYTES, BATCH_ROWS, BATCH_BYTES = 64 << 20, 4096, 3 << 20
 _CACHE_WORDS = 300_000
 #: How a byte-level vocabulary shows a space.
 _SPACE = "\u0120"
