@@ -9,13 +9,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
 
-__all__ = ["drop_scratch", "fresh", "held_out_col", "let", "n_tasks", "read_table", "scratch", "shared_dir", "ship", "stored", "text_bytes", "words_col"]
+__all__ = ["drop_scratch", "fresh", "held_out_col", "let", "n_tasks", "read_table", "scratch", "sent_rows", "shared_dir", "ship", "stored", "text_bytes", "words_col"]
 
 #: Separators of a word: space and U+0009 to U+000D.
 SPACES = "[ \\t-\\r]"
@@ -101,6 +102,19 @@ def held_out_col(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+@contextmanager
+def sent_rows(spark: SparkSession, rows: int):
+    """While it lasts, what is written or collected goes to Python in Arrow
+    batches of so many rows at most: fewer bytes at once there and in the JVM."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows) if int(before) <= 0 else str(min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_bytes(df: DataFrame, text_col: str) -> int:
     return df.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
 

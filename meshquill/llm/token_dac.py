@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesvec import as_array, buffers, row_slices
-from .common import n_tasks, ship, text_bytes
+from .common import n_tasks, sent_rows, ship, text_bytes
 
 BLOCK_TOKENS = 1 << 18
 BLOCK_SCHEMA = "shard int, block int, first_token long, n_tokens long, doc_ids binary, id_known binary, ends binary, payload binary"
 SHARD_BYTES, BATCH_ROWS, BATCH_BYTES = 64 << 20, 4096, 3 << 20
-_CACHE_WORDS = 300_000
+#: Rows that Spark sends to the encoder at once; by_bytes() puts them together.
+SENT_ROWS = 256
+_CACHE_WORDS = 100_000
 #: How a byte-level vocabulary shows a space.
 _SPACE = "\u0120"
 # Fixed value: the pre-token pattern of byte-level vocabularies, for text without
@@ -222,6 +224,24 @@ class Encoder:
         return out, counts
 
 
+def by_bytes(batches, size: int = BATCH_BYTES, rows: int = BATCH_ROWS):
+    """The rows of batches (id, text) in their order, in batches of about size
+    bytes of text, under twice of it unless one text is longer, and of few rows."""
+    held, n_bytes, n_rows = [], 0, 0
+    for b in batches:
+        offsets = buffers(b.column(1))[1]
+        for first, end in row_slices(offsets, size):
+            for lo in range(first, end, rows):
+                hi = min(end, lo + rows)
+                held.append(b.slice(lo, hi - lo))
+                n_bytes, n_rows = n_bytes + int(offsets[hi] - offsets[lo]), n_rows + hi - lo
+                if n_bytes >= size or n_rows >= rows:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, n_bytes, n_rows = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -261,29 +281,26 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id
             ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
             return pa.RecordBatch.from_pydict({"shard": [shard], "block": [block], "first_token": [start], "n_tokens": [held], "doc_ids": [np.array(docs_in, "<i8").tobytes()], "id_known": [bytes(known)], "ends": [np.array(ends, "<i8").tobytes()], "payload": [dac_encode(ids)]}, schema)
 
-        for b in batches:
-            _, offsets = buffers(b.column(1))
-            for lo, hi in row_slices(offsets, BATCH_BYTES):
-                for lo in range(lo, hi, BATCH_ROWS):
-                    part = b.slice(lo, min(hi, lo + BATCH_ROWS) - lo)
-                    ids, counts = enc.encode(part.column(1))
-                    pa.default_memory_pool().release_unused()
-                    ids = np.insert(ids, np.cumsum(counts), end_id)
-                    to = np.cumsum(counts + 1)
-                    for doc, a, z in zip(part.column(0).to_pylist(), (to - counts - 1).tolist(), to.tolist()):
-                        if held and held + z - a > block_tokens:
-                            yield row()
-                            start, block = start + held, block + 1
-                            docs_in, known, parts, ends, held = [], [], [], [], 0
-                        held += z - a
-                        docs_in.append(doc or 0)
-                        known.append(doc is not None)
-                        parts.append(ids[a:z])
-                        ends.append(held)
+        for part in by_bytes(batches):
+            ids, counts = enc.encode(part.column(1))
+            pa.default_memory_pool().release_unused()
+            ids = np.insert(ids, np.cumsum(counts), end_id)
+            to = np.cumsum(counts + 1)
+            for doc, a, z in zip(part.column(0).to_pylist(), (to - counts - 1).tolist(), to.tolist()):
+                if held and held + z - a > block_tokens:
+                    yield row()
+                    start, block = start + held, block + 1
+                    docs_in, known, parts, ends, held = [], [], [], [], 0
+                held += z - a
+                docs_in.append(doc or 0)
+                known.append(doc is not None)
+                parts.append(ids[a:z])
+                ends.append(held)
         if docs_in:
             yield row()
 
-    ordered.mapInArrow(encode, BLOCK_SCHEMA).write.parquet(path)
+    with sent_rows(spark, SENT_ROWS):
+        ordered.mapInArrow(encode, BLOCK_SCHEMA).write.parquet(path)
 
 
 def shard_starts(spark: SparkSession, path: str) -> dict[int, int]:

@@ -21,3 +21,35 @@ def test_encoder_keeps_few_words():
         ids, counts = enc.encode(pa.array([text]))
         assert ids.tolist() == enc.tok.encode(text, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
         assert len(enc._place) <= 330_000
+
+
+def test_encoder_takes_batches_by_bytes():
+    """Batches are put together, or cut, to about 3 MB of text, in their order."""
+
+    def rows(first, texts):
+        return pa.RecordBatch.from_arrays([pa.array(range(first, first + len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    size = token_dac.BATCH_BYTES
+    sent = [rows(256 * k, ["x" * 2000] * 256) for k in range(20)] + [rows(5120, ["x" * 2000] * 10_000), rows(15_120, []), rows(15_120, ["y" * 2 * size, None])]
+    out = list(token_dac.by_bytes(sent))
+    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(15_122))
+    n_bytes = [int(buffers(b.column(1))[1][-1]) for b in out]
+    assert min(n_bytes[:-1]) >= size and max(n_bytes[:-2]) < 2 * size
+    assert max(b.num_rows for b in token_dac.by_bytes([rows(0, [None] * 20_000)])) == token_dac.BATCH_ROWS and not list(token_dac.by_bytes([]))
+
+
+def test_encoder_is_sent_few_rows(spark):
+    """Spark sends the encoder 256 rows at once, not 10,000, and the session's
+    setting is as before afterwards."""
+    from meshquill.llm.common import sent_rows
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    with sent_rows(spark, token_dac.SENT_ROWS):
+        found = spark.range(0, 1000, 1, 1).mapInArrow(sizes, "n long").collect()
+    assert [r["n"] for r in found] == [256, 256, 256, 232] and spark.conf.get(key) == before
