@@ -43,6 +43,8 @@ _ODD = r"[^\t\n\r\x20-\x7e\x{a1}-\x{24f}]|\s\s"
 #: A space after white space (of any sort): the text is no sequence of pieces.
 _BEFORE_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
 _RANK = 512
+#: Runs that gather() copies at once.
+GATHER_RUNS = 1 << 14
 
 
 def dac_encode(ids: np.ndarray) -> bytes:
@@ -95,9 +97,16 @@ def dac_access(payload: bytes, i: int) -> int:
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """values[start : start + length] of each run, one after the other."""
-    skip = np.cumsum(lengths) - lengths
-    return values[np.repeat(starts - skip, lengths) + np.arange(int(lengths.sum()))]
+    """values[start : start + length] of each run, one after the other; the
+    places of a few runs at a time are in memory."""
+    ends = np.cumsum(lengths)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, values.dtype)
+    for lo in range(0, len(ends), GATHER_RUNS):
+        n = lengths[lo : lo + GATHER_RUNS]
+        to = ends[lo : lo + GATHER_RUNS]
+        first = int(to[0] - n[0])
+        out[first : to[-1]] = values[np.repeat(starts[lo : lo + GATHER_RUNS] - (to - n), n) + np.arange(first, to[-1])]
+    return out
 
 
 class Encoder:

@@ -1,3 +1,6 @@
+import tracemalloc
+
+import numpy as np
 import pyarrow as pa
 
 from meshquill.llm import token_dac
@@ -53,3 +56,20 @@ def test_encoder_is_sent_few_rows(spark):
     with sent_rows(spark, token_dac.SENT_ROWS):
         found = spark.range(0, 1000, 1, 1).mapInArrow(sizes, "n long").collect()
     assert [r["n"] for r in found] == [256, 256, 256, 232] and spark.conf.get(key) == before
+
+
+def test_gather_holds_few_places():
+    """Beside its result, gather() holds the places of a few runs; no runs, empty
+    runs and runs in any order are the same as one by one."""
+    rng = np.random.default_rng(1)
+    values, lengths = rng.integers(0, 1 << 16, 5000).astype(np.uint32), rng.integers(0, 6, 400_000)
+    starts = rng.integers(0, 4990, len(lengths))
+    plain = np.concatenate([values[a : a + n] for a, n in zip(starts, lengths)])
+    tracemalloc.start()
+    found = token_dac.gather(starts, lengths, values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.dtype == values.dtype and np.array_equal(found, plain)
+    assert peak < found.nbytes + lengths.nbytes + (4 << 20)
+    none = np.zeros(0, np.int64)
+    assert len(token_dac.gather(none, none, values)) == 0 and len(token_dac.gather(np.array([3, 4]), np.array([0, 0]), values)) == 0
