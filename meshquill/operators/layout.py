@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..model import GraphView
 from ..runtime import ship
+from .field import field, spans
 
 G = "graph_id"
 POSITIONS = "graph_id string, idx long, x double, y double"
@@ -21,8 +22,10 @@ ALPHA_DECAY, ALPHA_MIN, VELOCITY_DECAY = 0.045, 0.001, 0.65
 MAX_TICKS, BATCH, QUIET_MOVE, QUIET_BATCHES = 500, 8, 1e-3, 2
 INTRA_STRENGTH, INTER_STRENGTH, CENTER_STRENGTH, COHESION = 0.5, 0.12, 0.005, 0.12
 COLLIDE_STRENGTH, MIN_DISTANCE2 = 0.85, 1.0
-#: Nodes whose repulsion is summed at a time.
-BLOCK = 16
+#: Nodes whose repulsion is summed at a time; nodes up to which all pairs are summed one by one.
+BLOCK, PAIRWISE = 16, 3000
+#: Largest body of a class as a multiple of its least one, for collisions.
+CLASS = 1.5
 
 
 def seed(members: DataFrame) -> DataFrame:
@@ -110,6 +113,9 @@ def simulate(xy: np.ndarray, radius: np.ndarray, community: np.ndarray, src: np.
 
 
 def _repel(p, v, charge, alpha, jiggle):
+    if len(p) > PAIRWISE:
+        v += field(p, charge * alpha, MIN_DISTANCE2, jiggle)
+        return
     x, y = np.ascontiguousarray(p[:, 0]), np.ascontiguousarray(p[:, 1])
     pull = charge * alpha
     for lo in range(0, len(p), BLOCK):
@@ -129,39 +135,59 @@ def _repel(p, v, charge, alpha, jiggle):
         v[own, 1] += np.einsum("ij,ij->i", dy, force)
 
 
+def _touching(q, body):
+    """Pairs (i < j) nearer than their bodies together. A pair is found in the
+    class of its larger body, in cells of twice the largest body there."""
+    kind = np.floor(np.log(body / body.min()) / math.log(CLASS)).astype(np.int64)
+    found = []
+    for k in np.unique(kind):
+        pool = np.flatnonzero(kind <= k)
+        at = np.floor(q[pool] / (2 * body[kind == k].max())).astype(np.int64)
+        at -= at.min(0) - 1
+        wide = at[:, 0].max() + 2
+        key = at[:, 1] * wide + at[:, 0]
+        order = np.argsort(key, kind="stable")
+        pool, key = pool[order], key[order]
+        x, y, reach, ranks = q[pool, 0], q[pool, 1], body[pool], kind[pool]
+        own = np.flatnonzero(ranks == k)
+        for step in (-wide, 0, wide):
+            first = np.searchsorted(key, key[own] + step - 1)
+            many = np.searchsorted(key, key[own] + step + 1, "right") - first
+            for lo, hi, n, other in spans(first, many):
+                one = np.repeat(own[lo:hi], n)
+                dx, dy = x[one] - x[other], y[one] - y[other]
+                hit = np.flatnonzero(dx * dx + dy * dy < (reach[one] + reach[other]) ** 2)
+                one, other = one[hit], other[hit]
+                once = (ranks[other] < k) | (pool[one] < pool[other])
+                found.append((pool[one[once]], pool[other[once]]))
+    i, j = (np.concatenate(x) for x in zip(*found))
+    return np.minimum(i, j), np.maximum(i, j)
+
+
 def _collide(p, v, body, jiggle):
-    q = p + v
-    cell = max(2 * body.max(), 1e-9)
-    grid: dict[tuple[int, int], list[int]] = {}
-    for i, (a, b) in enumerate(np.floor(q / cell).astype(np.int64).tolist()):
-        grid.setdefault((a, b), []).append(i)
-    for (a, b), group in grid.items():
-        near = [j for da in (-1, 0, 1) for db in (-1, 0, 1) for j in grid.get((a + da, b + db), ())]
-        near = np.array(sorted(near))
-        for i in group:
-            j = near[near > i]
-            d = q[i] - q[j]
-            d[(d == 0)] = jiggle()
-            far = np.sqrt((d**2).sum(1))
-            reach = body[i] + body[j]
-            hit = far < reach
-            if hit.any():
-                j, d, far, reach = j[hit], d[hit], far[hit], reach[hit]
-                push = d * ((reach - far) / far * COLLIDE_STRENGTH)[:, None]
-                share = (body[j] ** 2 / (body[i] ** 2 + body[j] ** 2))[:, None]
-                v[i] += (push * share).sum(0)
-                v[j] -= push * (1 - share)
+    q, n = p + v, len(p)
+    i, j = _touching(q, body)
+    d = q[i] - q[j]
+    row, side = np.nonzero(d == 0)
+    for k in np.lexsort((side, j[row], i[row])):
+        d[row[k], side[k]] = jiggle()
+    far, reach = np.sqrt((d**2).sum(1)), body[i] + body[j]
+    push = d * ((reach - far) / far * COLLIDE_STRENGTH)[:, None]
+    share = body[j] ** 2 / (body[i] ** 2 + body[j] ** 2)
+    for k in (0, 1):
+        v[:, k] += np.bincount(i, push[:, k] * share, n) - np.bincount(j, push[:, k] * (1 - share), n)
 
 
 def _pull(p, v, a, b, bias, distance, strength, jiggle):
     if not len(a):
         return
-    d = p[b] + v[b] - p[a] - v[a]
+    q = p + v
+    d = q[b] - q[a]
     d[d == 0] = jiggle()
     far = np.sqrt((d**2).sum(1, keepdims=True))
     d *= (far - distance) / far * strength
-    np.subtract.at(v, b, d * bias[:, None])
-    np.add.at(v, a, d * (1 - bias)[:, None])
+    for k in (0, 1):
+        v[:, k] += np.bincount(a, d[:, k] * (1 - bias), len(v)) - np.bincount(b, d[:, k] * bias, len(v))
 
 
 def layout(members: DataFrame, edges: DataFrame, view: GraphView = GraphView(), start: DataFrame | None = None, factor: float = 1.0) -> DataFrame:
