@@ -150,17 +150,21 @@ def _touching(q, body):
         pool, key = pool[order], key[order]
         x, y, reach, ranks = q[pool, 0], q[pool, 1], body[pool], kind[pool]
         own = np.flatnonzero(ranks == k)
-        for step in (-wide, 0, wide):
-            first = np.searchsorted(key, key[own] + step - 1)
+        alone = len(own) == len(pool)  # then half of the cells will do
+        for step in (0, wide) if alone else (-wide, 0, wide):
+            first = own + 1 if alone and not step else np.searchsorted(key, key[own] + step - 1)
             many = np.searchsorted(key, key[own] + step + 1, "right") - first
             for lo, hi, n, other in spans(first, many):
                 one = np.repeat(own[lo:hi], n)
                 dx, dy = x[one] - x[other], y[one] - y[other]
                 hit = np.flatnonzero(dx * dx + dy * dy < (reach[one] + reach[other]) ** 2)
                 one, other = one[hit], other[hit]
-                once = (ranks[other] < k) | (pool[one] < pool[other])
-                found.append((pool[one[once]], pool[other[once]]))
-    i, j = (np.concatenate(x) for x in zip(*found))
+                if not alone:
+                    once = (ranks[other] < k) | (pool[one] < pool[other])
+                    one, other = one[once], other[once]
+                found.append((pool[one], pool[other]))
+    none = np.zeros(0, np.int64)
+    i, j = (np.concatenate(x) for x in zip((none, none), *found))
     return np.minimum(i, j), np.maximum(i, j)
 
 
@@ -186,8 +190,8 @@ def _pull(p, v, a, b, bias, distance, strength, jiggle):
     d[d == 0] = jiggle()
     far = np.sqrt((d**2).sum(1, keepdims=True))
     d *= (far - distance) / far * strength
-    for k in (0, 1):
-        v[:, k] += np.bincount(a, d[:, k] * (1 - bias), len(v)) - np.bincount(b, d[:, k] * bias, len(v))
+    for k, push in enumerate(np.ascontiguousarray(d.T)):
+        v[:, k] += np.bincount(a, push * (1 - bias), len(v)) - np.bincount(b, push * bias, len(v))
 
 
 def layout(members: DataFrame, edges: DataFrame, view: GraphView = GraphView(), start: DataFrame | None = None, factor: float = 1.0) -> DataFrame:
